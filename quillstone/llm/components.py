@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.runtime import cut
+from quillstone.runtime import cut, parallelism
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -76,7 +76,8 @@ def scan_groups(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], Iterable[p
         if out:
             yield pd.concat(out, ignore_index=True)
 
-    return df.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)
+    # a stated number of partitions, since the adaptive plan would merge them by bytes and leave one task all the work
+    return df.repartition(parallelism(df.sparkSession), key).sortWithinPartitions(key).mapInPandas(run, schema)
 
 
 def split_hot(rows: DataFrame, key: str, most: int, word: str) -> DataFrame:
