@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import names, places
+from quillstone.llm import names, pii, places
 from quillstone.runtime import table
 
 
@@ -14,12 +14,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.found(table(spark, sf_dir, "suppliers"), table(spark, sf_dir, "buyers"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "responses"), table(spark, sf_dir, "ai_requests"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.found(table(spark, sf_dir, "addresses"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p5_found": p5_found}
+    return {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
