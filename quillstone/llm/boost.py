@@ -8,7 +8,7 @@ import numpy as np
 class Boosted:
     """Binary classifier: Newton-boosted regression trees over small integer features, probabilities calibrated on held-out rows."""
 
-    def __init__(self, rounds: int = 60, depth: int = 4, rate: float = 0.2, l2: float = 1.0, least: float = 1.0):
+    def __init__(self, rounds: int = 150, depth: int = 5, rate: float = 0.15, l2: float = 1.0, least: float = 1.0):
         self.rounds, self.depth, self.rate, self.l2, self.least = rounds, depth, rate, l2, least
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.base = 0.0

@@ -288,7 +288,9 @@ def features(text: str, start: int, end: int, kind: str, words: Words) -> list[i
         int(comma), min(len(found), 4), int(any(len(w) == 1 for w in found)), given[0], given[-1], _case(first), _case(family), int(_case(first) == _case(family)),
         words.rank(family), min(len(family), 15) // 2, int(family.lower() in _PLAIN or fold(family) in GIVEN), int(family.lower() in _STREETS), int(family.lower() in _BUSINESS or first.lower() in _BUSINESS),
         int(nxt in _BUSINESS), int(nxt in _STREETS or nxt in ("drill", "brand", "depot")), int(bool(nxt_line) and nxt_line[0].lower() in _BUSINESS), int(first.lower() in _PLAIN), int(not line), value.count("\n"),
-        int(words.rank(first) > 0), int(bool(re.match(r"^\s*(?:\n|$)", rest))), *base,
+        int(words.rank(first) > 0), int(bool(re.match(r"^\s*(?:\n|$)", rest))),
+        int(re.search(rf"{_W}{{4,}}\s?,\s?$", text[max(0, start - 20) : start]) is not None), int(re.search(r"(?:^|[.!?:;/\n]\s*)$", text[max(0, start - 4) : start]) is not None),
+        0 if not nxt_line else 3 if words.rank(nxt_line[0]) and nxt_line[0].islower() else 2 if nxt_line[0][0].isupper() else 1, int(re.match(r"^\s*[.,;:)(/]", rest) is not None), *base,
     ]
 
 
