@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import names, ocr, pii, places
+from quillstone.llm import abuse, mixing, names, ocr, packing, pii, places
 from quillstone.runtime import table
 
 
@@ -26,8 +26,37 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.found(table(spark, sf_dir, "addresses"))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_sizes"))
+
+
+def p6_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(p6_containers(spark, sf_dir), table(spark, sf_dir, "container_sizes"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found}
+    named = (p1_found, p2_found, p4_found, p5_found, p6_containers, p6_unused, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
