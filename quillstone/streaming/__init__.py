@@ -1 +1,18 @@
-"""streaming of the engine."""
+"""The same expressions over streams, with late and repeated documents handled."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillstone.plans.pipeline import ExtractConfig, extract
+
+
+def extract_stream(df: DataFrame, key: str, event_time: str, delay: str = "1 hour", config: ExtractConfig = ExtractConfig()) -> DataFrame:
+    """Records of a stream of documents, each document once within the watermark."""
+    return extract(df.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key]), config)
+
+
+def counts_by_window(df: DataFrame, event_time: str, *keys: str, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """Documents per window and keys; rows later than the watermark are left out when streamed."""
+    return df.withWatermark(event_time, delay).groupBy(F.window(event_time, window), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), *keys, "n")
