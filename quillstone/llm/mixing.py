@@ -30,7 +30,8 @@ def subset(counts: dict[int, int], budget: int) -> dict[int, int]:
     total = sum(n * c for n, c in counts.items())
     if budget >= total:
         return dict(counts)
-    part = budget / total if total else 0.0
+    # room is kept back for the knapsack, so that long documents can still go in
+    part = (budget - min(budget, KNAPSACK)) / total if total else 0.0
     take = {n: int(c * part) for n, c in counts.items()}
     room = budget - sum(n * k for n, k in take.items())
     for n in sorted(counts, reverse=True):

@@ -81,6 +81,7 @@ class Lexicon:
         self.first_parts = {k.split("-")[0] for k, n in hyphenated.items() if n >= least}
         self.index: dict[str, list[str]] = {}
         self.least = least
+        self.longest = max((len(w) for w, n in words.items() if n >= least), default=0)
         for w, n in words.items():
             if n >= least and len(w) >= 3 and w.isalpha():
                 for v in deletions(w, 2 if len(w) >= 5 else 1):
@@ -91,6 +92,9 @@ class Lexicon:
     def candidates(self, token: str) -> list[tuple[float, int, str]]:
         """Lexicon words a token may be a misreading of: ``(cost, -count, word)``, cheapest first."""
         hit = self.memo.get(token)
+        if hit is None and len(token) > self.longest + 2:
+            # farther from every word than two letters
+            hit = []
         if hit is None:
             seen = {w for v in deletions(token, 2 if len(token) >= 5 else 1) for w in self.index.get(v, ())}
             hit = []
@@ -143,14 +147,17 @@ class Lexicon:
         runs = _runs(token)
         weak = [i for i, g in enumerate(runs) if self.grams.get(g, 0) <= 2]
         if weak:
-            for i in range(len(token)):
+            # an undone confusion has to touch every weak run, so it lies by the first one
+            for i in range(max(0, weak[0] - 1), min(len(token), weak[0] + 4)):
                 for size in (1, 2):
                     for true in _READ.get(token[i : i + size], ()) if i + size <= len(token) else ():
-                        other = token[:i] + true + token[i + size :]
-                        now = [self.grams.get(g, 0) for g in runs[max(0, i - 1) : i + size + 2]]
-                        then = [self.grams.get(g, 0) for g in _runs(other)[max(0, i - 1) : i + len(true) + 2]]
-                        if min(then) >= ODD_LEAST and min(then) >= 8 * (min(now) + 1):
-                            best = max(best, (math.log(min(then)) - math.log(min(now) + 1), other))
+                        now = [self.grams.get(g, 0) for g in runs[max(0, i - 2) : i + size + 1]]
+                        # the runs over the changed letters alone
+                        lead, tail = ("^" + token[:i])[-3:], (token[i + size :] + "$")[:3]
+                        around = lead + true + tail
+                        then = [self.grams.get(around[k : k + 4], 0) for k in range(len(around) - 3)]
+                        if then and now and min(then) >= ODD_LEAST and min(then) >= 8 * (min(now) + 1):
+                            best = max(best, (math.log(min(then)) - math.log(min(now) + 1), token[:i] + true + token[i + size :]))
         self.odd_memo[token] = best[1]
         return best[1] or None
 
@@ -269,7 +276,7 @@ class Page:
 
     def _breaks(self) -> None:
         for at, n in enumerate(self.running[:-1]):
-            left = re.search(rf"([^\W\d_][\w'’]*)([{MARKS}])\s*$", self.lines[n])
+            left = re.search(rf"(?<![\w'’])([^\W\d_][\w'’]*)([{MARKS}])\s*$", self.lines[n])
             nxt = self.running[at + 1]
             right = re.match(r"\s*([^\W\d_][\w'’]*)", self.lines[nxt].replace("\x0c", ""))
             if not left or not right or not right.group(1)[0].islower():
@@ -278,7 +285,7 @@ class Page:
                 continue
             a, b = left.group(1).lower(), right.group(1).lower()
             # the whole chain before the mark, as in "temperature-sen-"
-            chain = re.search(rf"((?:[^\W\d_]+-)*)[^\W\d_][\w'’]*[{MARKS}]\s*$", self.lines[n])
+            chain = re.search(rf"(?<![\w'’-])((?:[^\W\d_]+-)*)[^\W\d_][\w'’]*[{MARKS}]\s*$", self.lines[n])
             lead = chain.group(1).lower() if chain else ""
             if self._belongs(lead, a, b):
                 self.hard.add(n)
@@ -442,21 +449,21 @@ def _counted(items: DataFrame, least: int) -> dict[str, int]:
 
 
 def lexicon_tables(texts: DataFrame) -> tuple[dict[str, int], dict[str, int], dict[str, int], dict[str, int], int]:
-    """Counts over all distinct texts: words, hyphenated words, pairs, runs of letters over distinct words; and the least count kept.
+    """Counts over all distinct texts: words, hyphenated words, pairs, runs of letters over distinct words (of up to 64 letters); and the least count kept.
 
     The least count is a share of the texts, so the tables can't outgrow (uses in a text) / share; runs of four letters
     are bounded by the alphabet. Broken words are left out of the counts.
     """
     total = texts.count()
     least = max(3, int(total * LEXICON_SHARE))
-    whole = F.regexp_replace("text", rf"[\p{{L}}]+[{MARKS}]\s*\n\s*[\p{{L}}]+", " # ")
+    whole = F.regexp_replace("text", rf"(?<!\p{{L}})\p{{L}}++[{MARKS}]\s*\n\s*\p{{L}}++", " # ")
     lines = texts.select(F.explode(F.split(whole, "\n")).alias("line"))
     words = lines.select(F.regexp_extract_all(F.lower("line"), F.lit(r"(\p{L}[\p{L}\p{N}]*|\p{N}+\p{L}{2,}[\p{L}\p{N}]*)"), F.lit(1)).alias("ws"))
     word = words.select(F.explode("ws").alias("w"))
     pair = words.filter("size(ws) > 1").select(F.explode(F.transform(F.sequence(F.lit(0), F.size("ws") - 2), lambda i: F.concat_ws(" ", F.get("ws", i), F.get("ws", i + 1)))).alias("w"))
     chains = lines.select(F.explode(F.regexp_extract_all(F.lower("line"), F.lit(r"(?<![\p{L}\p{N}-])(\p{L}+(?:-\p{L}+)+)(?![\p{L}\p{N}-])"), F.lit(1))).alias("c")).select(F.split("c", "-").alias("ps"))
     links = chains.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("ps") - 2), lambda i: F.concat_ws("-", F.get("ps", i), F.get("ps", i + 1)))).alias("w"))
-    marked = word.distinct().filter(F.length("w") >= 5).select(F.concat(F.lit("^"), "w", F.lit("$")).alias("t"))
+    marked = word.distinct().filter(F.length("w").between(5, 64)).select(F.concat(F.lit("^"), "w", F.lit("$")).alias("t"))
     runs = marked.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 3), lambda i: F.col("t").substr(i, F.lit(4)))).alias("w"))
     return _counted(word, least), _counted(links, least), _counted(pair, least), _counted(runs, 2), least
 

@@ -76,7 +76,7 @@ _EMAIL = [
     re.compile(rf"(?<![\w.+-])[A-Za-z0-9_][\w+-]*(?:(?:\s+dot\s+|\.)[\w+-]+)+\s*{_AT}\s*{_HOST}", re.I),
 ]
 _PHONE = re.compile(r"(?<![\w@.-])(?:(?:\+|00)[0-9]{1,3}[\s.-]?)?(?:\(0\)\s?)?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[\s./-]{0,2}[0-9]{2,8}){1,5}(?![\w])")
-_ID = re.compile(r"(?<![\w@.-])(?=[A-Za-z0-9 -]*[0-9])(?:[A-Za-z]{1,3}\s?-?)?[0-9]{1,11}(?:[ \n-]{1,2}(?:[0-9]{1,7}|[A-Za-z](?=[ \n-][0-9]))){0,6}[A-Za-z]?(?![\w])")
+_ID = re.compile(r"(?<![\w@.-])(?=[A-Za-z0-9 -]{0,60}[0-9])(?:[A-Za-z]{1,3}\s?-?)?[0-9]{1,11}(?:[ \n-]{1,2}(?:[0-9]{1,7}|[A-Za-z](?=[ \n-][0-9]))){0,6}[A-Za-z]?(?![\w])")
 _ADDRESS = [
     # number, name, kind
     re.compile(rf"(?<![\w/#-])(?:(?:{_UNIT}\s?[,/]?\s+|u?[0-9]+\s?/\s?)?)[0-9]+\s?[A-Za-z]?[\s,]\s?(?:(?:north|south|east|west|[nsew])\.?\s+)?{_W}[\w'’-]*(?:\s{_W}[\w'’-]*){{0,2}}\s+(?:{STREET_KIND})\b\.?", re.I),
