@@ -88,6 +88,9 @@ class Lexicon:
                     self.index.setdefault(v, []).append(w)
         self.memo: dict[str, list[tuple[float, int, str]]] = {}
         self.odd_memo: dict[str, str] = {}
+        # every use of a word has one run that starts it
+        uses = sum(n for g, n in self.grams.items() if g[0] == "^")
+        self.usual, self.floor = ODD_USUAL * uses, max(1.0, ODD_FLOOR * uses)
 
     def candidates(self, token: str) -> list[tuple[float, int, str]]:
         """Lexicon words a token may be a misreading of: ``(cost, -count, word)``, cheapest first."""
@@ -137,7 +140,11 @@ class Lexicon:
         return self.odd(low) if own < self.least and len(low) >= 7 else None
 
     def odd(self, token: str) -> str | None:
-        """A name put right by its letters: one confusion whose undoing turns unheard-of letter runs into usual ones."""
+        """A name put right by its letters: one confusion whose undoing turns rare letter runs into usual ones.
+
+        Rare and usual are judged by the runs' shares of all word uses and by their ratio, so that a larger corpus of
+        the same kind gives the same answer.
+        """
         if not self.grams:
             return None
         hit = self.odd_memo.get(token)
@@ -145,25 +152,22 @@ class Lexicon:
             return hit or None
         best = (0.0, "")
         runs = _runs(token)
-        weak = [i for i, g in enumerate(runs) if self.grams.get(g, 0) <= 2]
-        if weak:
-            # an undone confusion has to touch every weak run, so it lies by the first one
-            for i in range(max(0, weak[0] - 1), min(len(token), weak[0] + 4)):
-                for size in (1, 2):
-                    for true in _READ.get(token[i : i + size], ()) if i + size <= len(token) else ():
-                        now = [self.grams.get(g, 0) for g in runs[max(0, i - 2) : i + size + 1]]
-                        # the runs over the changed letters alone
-                        lead, tail = ("^" + token[:i])[-3:], (token[i + size :] + "$")[:3]
-                        around = lead + true + tail
-                        then = [self.grams.get(around[k : k + 4], 0) for k in range(len(around) - 3)]
-                        if then and now and min(then) >= ODD_LEAST and min(then) >= 8 * (min(now) + 1):
-                            best = max(best, (math.log(min(then)) - math.log(min(now) + 1), token[:i] + true + token[i + size :]))
+        for i in range(len(token)):
+            for size in (1, 2):
+                for true in _READ.get(token[i : i + size], ()) if i + size <= len(token) else ():
+                    now = min(self.grams.get(g, 0) for g in runs[max(0, i - 2) : i + size + 1]) + self.floor
+                    # the runs over the changed letters alone
+                    lead, tail = token[i - 3 : i] if i >= 3 else "^" + token[:i], (token[i + size : i + size + 3] + "$")[:3]
+                    around = lead + true + tail
+                    then = min((self.grams.get(around[k : k + 4], 0) for k in range(len(around) - 3)), default=0)
+                    if then >= self.usual and then >= ODD_RATIO * now:
+                        best = max(best, (math.log(then) - math.log(now), token[:i] + true + token[i + size :]))
         self.odd_memo[token] = best[1]
         return best[1] or None
 
 
-#: uses of a run of letters (over distinct words) that make it usual
-ODD_LEAST = 25
+#: share of the word uses from which a run of letters is usual, what is added to a run's uses as a share, and how many times the uses the undone form must have
+ODD_USUAL, ODD_FLOOR, ODD_RATIO = 5e-5, 1e-6, 50
 
 
 def _runs(token: str) -> list[str]:
@@ -449,7 +453,7 @@ def _counted(items: DataFrame, least: int) -> dict[str, int]:
 
 
 def lexicon_tables(texts: DataFrame) -> tuple[dict[str, int], dict[str, int], dict[str, int], dict[str, int], int]:
-    """Counts over all distinct texts: words, hyphenated words, pairs, runs of letters over distinct words (of up to 64 letters); and the least count kept.
+    """Counts over all distinct texts: words, hyphenated words, pairs, runs of letters over the uses of words (of 5 to 64 letters); and the least count kept.
 
     The least count is a share of the texts, so the tables can't outgrow (uses in a text) / share; runs of four letters
     are bounded by the alphabet. Broken words are left out of the counts.
@@ -463,9 +467,10 @@ def lexicon_tables(texts: DataFrame) -> tuple[dict[str, int], dict[str, int], di
     pair = words.filter("size(ws) > 1").select(F.explode(F.transform(F.sequence(F.lit(0), F.size("ws") - 2), lambda i: F.concat_ws(" ", F.get("ws", i), F.get("ws", i + 1)))).alias("w"))
     chains = lines.select(F.explode(F.regexp_extract_all(F.lower("line"), F.lit(r"(?<![\p{L}\p{N}-])(\p{L}+(?:-\p{L}+)+)(?![\p{L}\p{N}-])"), F.lit(1))).alias("c")).select(F.split("c", "-").alias("ps"))
     links = chains.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("ps") - 2), lambda i: F.concat_ws("-", F.get("ps", i), F.get("ps", i + 1)))).alias("w"))
-    marked = word.distinct().filter(F.length("w").between(5, 64)).select(F.concat(F.lit("^"), "w", F.lit("$")).alias("t"))
-    runs = marked.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 3), lambda i: F.col("t").substr(i, F.lit(4)))).alias("w"))
-    return _counted(word, least), _counted(links, least), _counted(pair, least), _counted(runs, 2), least
+    marked = word.filter(F.length("w").between(5, 64)).groupBy("w").count().select(F.concat(F.lit("^"), "w", F.lit("$")).alias("t"), "count")
+    runs = marked.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 3), lambda i: F.col("t").substr(i, F.lit(4)))).alias("w"), "count")
+    grams = {r[0]: r[1] for r in runs.groupBy("w").agg(F.sum("count").alias("n")).filter("n > 1").collect()}
+    return _counted(word, least), _counted(links, least), _counted(pair, least), grams, least
 
 
 def analysed(texts: DataFrame, with_text: bool = True) -> DataFrame:

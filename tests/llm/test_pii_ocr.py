@@ -67,6 +67,21 @@ def test_repair(spark):
     assert ocr.repair(df.filter("id < 0")).count() == 0
 
 
+def test_odd_names_in_a_larger_corpus(spark):
+    def texts(first, second, misread):
+        # every name once, so that only its letter runs can tell what it is
+        names = [f"{a}{v}{b}ahornbury" for a in first for v in "aeiou" for b in second]
+        return [f"Signed for by {n} at the gate" for n in names] + [f"Signed for by {a}{a}iahombury at the gate" for a in misread]
+
+    pages = texts("BCDF", "bcdfghklmn", "ZW")
+    larger = texts("BCDFGHJKLMNPQRSTVWXZ", "bcdfghjklmnpqrstvwxz", "BCDFGHJKLMNPQRSTVXZW")
+    got = []
+    for rows in (pages, larger):
+        found = ocr.analysed(spark.createDataFrame([(x,) for x in rows], "text string")).collect()
+        got.append({r.text: [tuple(f) for f in r.finds] for r in found if r.text in pages})
+    assert got[0] == got[1] == {x: [(0, "char")] if "hombury" in x else [] for x in pages}
+
+
 def test_misread_cost():
     assert ocr.misread_cost("comrnon", "common") == ocr.CONFUSED and ocr.misread_cost("supplicr", "supplier") == ocr.CONFUSED
     assert ocr.misread_cost("table", "chair") > 1
