@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.components import components
 from quillstone.llm.fuzzy import LevenshteinAutomaton, Trie, osa
-from quillstone.llm.names import fold
+from quillstone.llm.names import fold, trie_join
 from quillstone.runtime import cut, parallelism, spread
 
 # fixed values: kinds of street and their abbreviations, in the languages of the five countries
@@ -208,6 +208,14 @@ def _state(word: str) -> str | None:
     return _STATE_OF.get(word)
 
 
+def _town_first(text: str, rest: str, towns: Towns | None) -> bool:
+    """Is what stands before ``rest`` a town, listed or not: does only the rest read as a street?"""
+    if read_street(text, towns)["number"] is not None:
+        return False
+    own = read_street(rest, towns)
+    return bool(own["number"] and own["name"] and own["kind"])
+
+
 def read_full(text: str, towns: Towns | None = None) -> dict:
     """All components of an address in running text, in whatever order."""
     t = re.sub(r"[^\S\n]+", " ", fold(text)).strip()
@@ -257,11 +265,14 @@ def read_full(text: str, towns: Towns | None = None) -> dict:
         p = pieces[n]
         if street is None and re.search(r"[0-9]", p):
             lead = re.match(r"^([a-z' -]+?)\s+(?=[0-9]|u[0-9]+\s?/|unit |apt)", p)
-            if lead and towns:
+            if lead:
                 words = lead.group(1).split()
-                if len(words) > 1 and _state(words[-1]):
-                    state = state or _state(words.pop())
-                if towns.at_start(words) == len(words):
+                for k in (3, 2, 1):
+                    if len(words) > k and _state(" ".join(words[-k:])):
+                        state = state or _state(" ".join(words[-k:]))
+                        del words[-k:]
+                        break
+                if (towns and towns.at_start(words) == len(words)) or _town_first(p, p[lead.end() :], towns):
                     place.append(" ".join(words))
                     p = p[lead.end() :]
             # a lone number or unit goes with the next piece
@@ -336,20 +347,32 @@ def read_address(street: str | None, city: str | None, state: str | None, post:
 # Spark
 
 READ = "address_id long, town string, known boolean, post string, number string, name string, kind string, direction string, unit string"
-#: a town name is used to read addresses from this share of the rows on; bounds the list to 20,000 names
-TOWN_SHARE = 1 / 20_000
+#: a spelling is a slip of a neighbour that this many times as many records use
+TOWN_SLIP = 8
 FIELDS = ("street", "city", "state", "postal_code", "full_address")
 
 
 def town_names(addresses: DataFrame) -> list[str]:
-    """City spellings used by enough records; at most ``1 / TOWN_SHARE`` of them, whatever the table's size.
+    """The corpus' towns: every city spelling but the slips of another, by the same rule whatever the table's size.
 
-    They only help to read running text and to mend slips; a town below the share is kept as written.
+    A slip lies within ``Towns.near``'s reach of a spelling that ``TOWN_SLIP`` times as many records use, or is used once
+    and has a repeated neighbour. Counts are compared by a join; what stays is a name for each town, and those that no
+    other is near.
     """
     cities = addresses.select("address_id", F.lower(F.trim("city")).alias("city")).filter("city <> ''")
-    total = cities.count()
-    least = max(4 if total >= 2000 else 2, int(total * TOWN_SHARE))
-    return sorted(r[0] for r in cities.groupBy("city").agg(F.countDistinct("address_id").alias("n")).filter(F.col("n") >= least).select("city").collect())
+    counted = cities.groupBy("city").agg(F.countDistinct("address_id").alias("n"))
+
+    def lettered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"word": [_letters(fold(c)) for c in f["city"]], "n": f["n"], "city": f["city"]})
+
+    words = cut(counted.mapInPandas(lettered, "word string, n long, city string").filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n"), F.min("city").alias("city")))
+    near = trie_join(words.select(F.lit("town").alias("scope"), "word"))
+    both = near.select("a", "b", "d").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    reach = F.when(F.length("a") < 5, 0).when(F.length("a") < 7, 1).otherwise(2)
+    beside = both.filter(F.col("d") <= reach).join(words.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b").groupBy(F.col("a").alias("word")).agg(F.max("nb").alias("nb"))
+    kept = words.join(beside, "word", "left").filter(F.expr(f"nb is null or not (nb >= {TOWN_SLIP} * n or (n = 1 and nb > 1))"))
+    return sorted(r[0] for r in kept.select("city").collect())
 
 
 def components_of(addresses: DataFrame) -> DataFrame:
@@ -369,7 +392,7 @@ def components_of(addresses: DataFrame) -> DataFrame:
     rows = addresses.filter("address_id is not null").select(F.col("address_id").cast("long"), *FIELDS).distinct()
     got = cut(spread(rows, "address_id").mapInPandas(read, READ))
     usual = got.filter("known and post <> ''").groupBy("post", "town").count().groupBy("post").agg(F.max(F.struct("count", "town")).alias("x")).select("post", F.col("x.town").alias("usual"))
-    return got.join(usual, "post", "left").withColumn("town", F.when(F.col("known"), F.col("town")).otherwise(F.coalesce("usual", "town"))).drop("usual", "known")
+    return got.join(usual, "post", "left").withColumn("town", F.when(F.col("town") != "", F.col("town")).otherwise(F.coalesce("usual", "town"))).drop("usual", "known")
 
 
 def deletions(word: str, k: int = 2) -> set[str]:

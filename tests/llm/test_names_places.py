@@ -56,3 +56,24 @@ def test_locations(spark):
     df = spark.createDataFrame([(*r, "clash") for r in rows], "address_id long, street string, city string, state string, postal_code string, full_address string, location string")
     assert {tuple(r) for r in places.found(df).collect()} == {(1, 2), (1, 3), (2, 3), (7, 8)}
     assert places.found(df.filter("address_id < 0")).count() == 0
+
+
+def test_towns_by_one_rule_at_every_size(spark):
+    cols = "address_id long, street string, city string, state string, postal_code string, full_address string"
+    few = [(1, "12 Kestrel Road", "Oakbrook", None, None, None), (2, "14 Kestrel Road", "Oakbrook", None, None, None), (3, "3 Heron Road", "Oakbrok", None, None, None), (4, "8 Heron Lane", "Lonemarsh", None, None, None)]
+    many = few + [(i, f"{i} Kestrel Road", "Farfield" if i % 3 else "Oakbrook", None, None, None) for i in range(10, 2600)]
+    assert places.town_names(spark.createDataFrame(few, cols)) == ["lonemarsh", "oakbrook"]
+    assert places.town_names(spark.createDataFrame(many, cols)) == ["farfield", "lonemarsh", "oakbrook"]
+
+
+def test_unlisted_town(spark):
+    r = lambda text: places.read_address(None, None, None, None, text, places.Towns([]))
+    a = r("Trirnville Georgia 47 Thetspeam Rd.")
+    assert (a["number"], a["name"], a["kind"], a["town"], a["state"]) == ("47", "thetspeam", "road", "trirnville", "ga")
+    a = r("Trirnville New York 47 Thetspeam Rd.")
+    assert (a["name"], a["town"], a["state"]) == ("thetspeam", "trirnville", "ny")
+    assert r("Slimbier-Platz 869B")["name"] == "slimbier"
+    # it is kept as written where its postcode has another town
+    rows = [(1, "5 Heron Road", "Oakbrook", "75001", None), (2, "5 Heron Road", "Oakbrook", "75001", None), (3, None, None, "75001", "Lonemarsh 5 Heron Road"), (4, None, None, "75001", "5 Heron Road"), (5, None, None, None, "Lonemarsh 5 Heron Rd")]
+    df = spark.createDataFrame([(i, s, c, None, p, f) for i, s, c, p, f in rows], "address_id long, street string, city string, state string, postal_code string, full_address string")
+    assert {tuple(x) for x in places.found(df).collect()} == {(1, 2), (1, 4), (2, 4), (3, 5)}
