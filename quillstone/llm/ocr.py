@@ -118,7 +118,7 @@ class Lexicon:
         if len(low) < 3 and not digits:
             return None
         best = None
-        for cost, n, word in self.candidates(low)[:12]:
+        for cost, n, word in self.candidates(low):
             n = -n
             ratio = 20 if len(low) >= 5 else 60
             own = max(own, 1)

@@ -82,6 +82,14 @@ def test_odd_names_in_a_larger_corpus(spark):
     assert got[0] == got[1] == {x: [(0, "char")] if "hombury" in x else [] for x in pages}
 
 
+def test_every_candidate_is_weighed():
+    # fourteen words are as near; the neighbouring words speak for the last
+    lex = ocr.Lexicon({"aaaaa": 1}, {}, {"the last": 400}, {}, 3)
+    lex.words |= {f"near{c}": 900 for c in "abcdefghijklm"} | {"last": 800}
+    lex.memo["lasl"] = sorted((ocr.CONFUSED, -n, w) for w, n in lex.words.items() if n > 1)
+    assert lex.repair("lasl", before="the") == "last"
+
+
 def test_misread_cost():
     assert ocr.misread_cost("comrnon", "common") == ocr.CONFUSED and ocr.misread_cost("supplicr", "supplier") == ocr.CONFUSED
     assert ocr.misread_cost("table", "chair") > 1
