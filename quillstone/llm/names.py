@@ -167,6 +167,8 @@ READ = "pid long, typ string, biz string, core string, words array<string>, comm
 _PIECE_FROM, _WHOLE_TO = 14, 15
 #: rows a trie may hold before its shard is split
 SHARD_ROWS = 20_000
+#: a spelling is a slip of one that so many times as many parties use, at one edit and at two
+SLIP_OF = (20, 50)
 #: a token is a corpus given name from this share of the person names on (as distinct partners); bounds the lexicon
 GIVEN_SHARE = 1 / 500
 
@@ -330,11 +332,13 @@ def _spellings(nodes: DataFrame) -> DataFrame:
     """Roots of the spellings of ``scope, word, n``: ``scope, word, root``. ``n``: parties that use the spelling.
 
     Spellings within two edits are one name unless both are established: used by two parties or more (two edits) or
-    three (one edit).
+    three (one edit), and the rarer by more than the share of the other that a common slip has.
     """
     near = trie_join(nodes.select("scope", "word"))
     counted = near.join(nodes.select("scope", F.col("word").alias("a"), F.col("n").alias("na")), ["scope", "a"]).join(nodes.select("scope", F.col("word").alias("b"), F.col("n").alias("nb")), ["scope", "b"])
-    kept = counted.filter(F.least("na", "nb") < F.when(F.col("d") == 1, 3).otherwise(2))
+    few = F.least("na", "nb") < F.when(F.col("d") == 1, 3).otherwise(2)
+    slip = F.least("na", "nb") * F.when(F.col("d") == 1, SLIP_OF[0]).otherwise(SLIP_OF[1]) <= F.greatest("na", "nb")
+    kept = counted.filter(few | slip)
     link = kept.select(F.concat_ws("|", "scope", "a").alias("a"), F.concat_ws("|", "scope", "b").alias("b"))
     comp = components(link)
     named = nodes.withColumn("node", F.concat_ws("|", "scope", "word"))

@@ -26,6 +26,16 @@ def test_groups(spark):
     assert got == {(1, 2), (1, 11), (2, 11), (12, 13), (12, 14), (13, 14), (15, 16)}
 
 
+def test_repeated_slips_of_a_hot_name(spark):
+    names_of = {1000: "Kestrelbrook Marine Supplies Ltd", 2000: "Kestrelbrok Marine Supplies", 3000: "Kestrlebroook Mar. Supp.", 4000: "Kestrelbrood Marine Supplies Ltd"}
+    many = {1000: 160, 2000: 4, 3000: 2, 4000: 30}
+    s = party(spark, [(k + i, n, None, None, None) for k, n in names_of.items() for i in range(many[k])], "supplier_id")
+    got = dict(tuple(r) for r in names.entities(s, party(spark, [], "buyer_id")).collect())
+    assert len(got) == 196
+    # a common slip is the hot entity's, at one edit and at two; another name of like weight is not
+    assert {got[k] for k in got if k < 4000} == {got[1000]} and {got[k] for k in got if k >= 4000} == {got[4000]} != {got[1000]}
+
+
 def test_empty_names(spark):
     s = party(spark, [], "supplier_id")
     b = party(spark, [], "buyer_id")
