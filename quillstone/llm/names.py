@@ -388,8 +388,8 @@ def entities(suppliers: DataFrame, buyers: DataFrame) -> DataFrame:
 def _vague(vague: DataFrame, full: DataFrame) -> DataFrame:
     """Parties known by an initial or an ambiguous short form: to the one person of that family name they fit.
 
-    Where several fit, a shared e-mail or telephone decides; where none does, equal initials of one family name are
-    one person among themselves.
+    Where several fit, a shared e-mail or telephone decides; whoever isn't placed so is one person with those of the same
+    initial, or of a short form of the same names, and family name.
     """
     asked = vague.select("pid", "family", F.explode("names").alias("name"), "initial", "phone", "email").withColumn("scope", F.substring("name", 1, 1)).withColumn("want", F.when(F.col("initial"), F.lit("")).otherwise(F.col("name")))
     known = full.select(F.substring("given", 1, 1).alias("scope"), F.col("family"), "given", "entity").distinct()
@@ -417,8 +417,9 @@ def _vague(vague: DataFrame, full: DataFrame) -> DataFrame:
     top = scored.groupBy("pid").agg(F.max("s").alias("s"))
     chosen = scored.join(top, ["pid", "s"]).groupBy("pid").agg(F.count("*").alias("n"), F.min("entity").alias("entity"), F.max("d").alias("d")).filter("n = 1")
     placed = cut(chosen.select("pid", "entity"))
-    # nobody fits: initials among themselves
-    alone = asked.filter("want = ''").join(cand.select("pid").distinct(), "pid", "left_anti").select("pid", F.concat(F.lit("-"), F.col("scope")).alias("scope"), F.col("family").alias("word"))
+    # nobody fits, or several do: equal initials or short forms among themselves
+    said = F.when(F.col("initial"), F.substring(F.col("names")[0], 1, 1)).otherwise(F.concat_ws("/", "names"))
+    alone = cut(vague.join(placed.select("pid").distinct(), "pid", "left_anti").select("pid", F.concat(F.lit("-"), said).alias("scope"), F.col("family").alias("word")).distinct())
     own = _spellings(alone.groupBy("scope", "word").agg(F.countDistinct("pid").alias("n")))
     return placed.unionByName(alone.join(own, ["scope", "word"]).select("pid", F.col("root").alias("entity")))
 

@@ -36,6 +36,13 @@ def test_repeated_slips_of_a_hot_name(spark):
     assert {got[k] for k in got if k < 4000} == {got[1000]} and {got[k] for k in got if k >= 4000} == {got[4000]} != {got[1000]}
 
 
+def test_vague_names_among_themselves(spark):
+    b = [(1, "Ted Honhokskail", None, None, None), (2, "Ted Honhokskail", None, None, None), (3, "Ted Vatmoller", None, None, None), (4, "Robert Holloway", None, None, None), (5, "Richard Holloway", None, None, None), (6, "R. Holloway", None, None, None), (7, "R. Holloway", None, None, None)]
+    got = {tuple(r) for r in names.found(party(spark, [], "supplier_id"), party(spark, b, "buyer_id")).collect()}
+    # nobody's full name fits the one, two fit the other
+    assert got == {(1, 2), (6, 7)}
+
+
 def test_empty_names(spark):
     s = party(spark, [], "supplier_id")
     b = party(spark, [], "buyer_id")
