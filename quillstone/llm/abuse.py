@@ -82,7 +82,21 @@ def tokens(text: str) -> list[str]:
         t = re.sub(r"\w+", lambda m: m.group().translate(LOOKALIKES) if not m.group().isascii() else m.group(), t)
     if _SPELLED.search(t):
         t = _SPELLED.sub(lambda m: re.sub(r"[*.\- _!?]", "", m.group()) + " ", t)
-    return [_word(w) if w[0] not in "!?" else w[0] for w in _TOKEN.findall(t)]
+    return [x for w in _TOKEN.findall(t) for x in (_parts(w) if len(w) > LONG else [_word(w) if w[0] not in "!?" else w[0]])]
+
+
+#: letters of a word that the network reads
+LONG = 24
+
+
+def _parts(raw: str) -> list[str]:
+    """A word too long for the network: split at underscores, what is still too long into pieces that overlap by half."""
+    if raw[0] in "!?":
+        return [raw[0]]
+    out: list[str] = []
+    for w in (_word(x) for x in raw.split("_") if x):
+        out += [w[i : i + LONG] for i in range(0, max(1, len(w) - LONG // 2), LONG // 2)]
+    return out
 
 
 def windows(words: list[str]) -> list[list[str]]:

@@ -138,3 +138,10 @@ def test_found_queries_have_the_stated_columns(spark, sf):
     for name, want in cols.items():
         df = queries.queries()[name](spark, sf)
         assert df.columns == want and df.count() == df.distinct().count(), name
+
+
+def test_long_words_are_read_whole():
+    assert abuse.tokens("you_are_such_a_complete_worthless_bitch") == abuse.tokens("you are such a complete worthless bitch")
+    got = abuse.tokens("abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz")
+    assert all(len(x) <= 24 for x in got) and got[0] == "abcdefghijklmnopqrstuvwx" and got[-1].endswith("xyz") and len(got) == 4
+    assert abuse.tokens("!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!") == ["!"]
