@@ -33,15 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``; choose one only where neither it nor the context has any."""
+    """Use the folder named by ``spark.checkpoint.dir``.
+
+    Only a session whose executors share the driver's own disk (``local`` masters, as in tests) may do without it; on a
+    cluster a folder that not every machine sees would lose rows, so its absence is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        sc.setCheckpointDir(named)
-    else:
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "quillstone-checkpoints"))
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "quillstone-checkpoints"))
 
 
 def cut(df: DataFrame) -> DataFrame:
