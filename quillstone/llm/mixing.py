@@ -19,25 +19,43 @@ from pyspark.sql import functions as F
 from quillstone.llm.tokens import TOKENIZER, TOKENIZERS, ranked, sized
 from quillstone.runtime import cut
 
-#: tokens the knapsack itself may have to fill
-KNAPSACK = 16_384
+#: tokens the knapsack fills first, and at most where the first leave a gap
+KNAPSACK, KNAPSACK_MOST = 16_384, 4_194_304
 #: rows of targets a run takes at most; the fit of each is made on the driver
 MOST_TARGETS = 10_000
 
 
 def subset(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many documents of each length to take so that their tokens come as near under ``budget`` as can be."""
+    """How many documents of each length to take so that their tokens come as near under ``budget`` as can be.
+
+    Where the knapsack can't meet its part exactly it is given more of the budget, up to all of it or
+    ``KNAPSACK_MOST`` tokens, before a gap is accepted.
+    """
     total = sum(n * c for n, c in counts.items())
     if budget >= total:
         return dict(counts)
+    best: dict[int, int] = {}
+    gap, kept = budget + 1, KNAPSACK
+    while gap:
+        take = _subset(counts, budget, total, kept)
+        missed = budget - sum(n * k for n, k in take.items())
+        if missed < gap:
+            best, gap = take, missed
+        if kept >= min(budget, KNAPSACK_MOST):
+            break
+        kept = min(kept * 16, KNAPSACK_MOST)
+    return best
+
+
+def _subset(counts: dict[int, int], budget: int, total: int, kept: int) -> dict[int, int]:
     # room is kept back for the knapsack, so that long documents can still go in
-    part = (budget - min(budget, KNAPSACK)) / total if total else 0.0
+    part = (budget - min(budget, kept)) / total if total else 0.0
     take = {n: int(c * part) for n, c in counts.items()}
     room = budget - sum(n * k for n, k in take.items())
     for n in sorted(counts, reverse=True):
-        if room <= KNAPSACK:
+        if room <= kept:
             break
-        more = min(counts[n] - take[n], (room - KNAPSACK // 2) // n)
+        more = min(counts[n] - take[n], (room - kept // 2) // n)
         if more > 0:
             take[n] += more
             room -= more * n
@@ -117,6 +135,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 11, total: int | N
     and the others keep their proportions. A null ``max_repeats`` sets no cap. ``total`` fixes the size in tokens,
     which otherwise is that of the mix's sources or the largest the caps allow. Null or empty texts have no tokens
     and are never taken; documents without a source are in no mix; a repeated ``doc_id`` counts as often as it stands.
+    The choice depends on the seed, ids and texts alone, not on how the rows are partitioned.
     """
     spark = documents.sparkSession
     rows = targets.filter("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(F.sum("target_share").alias("w"), F.max(F.struct(F.col("max_repeats").isNull().alias("free"), "max_repeats")).alias("cap")).limit(MOST_TARGETS + 1).collect()
@@ -124,7 +143,8 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 11, total: int | N
         raise ValueError(f"more than {MOST_TARGETS} targets")
     wanted = [(r["mix_id"], r["source"], r["w"], None if r["cap"]["free"] else r["cap"]["max_repeats"]) for r in rows]
     sources = spark.createDataFrame([(s,) for s in sorted({t[1] for t in wanted})], "source string")
-    sizes = cut(sized(documents.filter("source is not null").join(F.broadcast(sources), "source"), ("doc_id", "source")).filter("n_tokens > 0").withColumn("uid", F.monotonically_increasing_id()))
+    told = documents.filter("source is not null").select("doc_id", "source", "text", F.xxhash64("text").alias("uid")).join(F.broadcast(sources), "source")
+    sizes = cut(sized(told, ("doc_id", "source", "uid"), tokenizer, folder).filter("n_tokens > 0"))
     histogram: dict[str, dict[int, int]] = {}
     # counts by exact length: at most one for each length that occurs in a source
     for r in sizes.groupBy("source", "n_tokens").count().collect():
@@ -148,7 +168,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 11, total: int | N
                     out.append(pd.DataFrame({"mix_id": m, "source": source, "doc_id": part["doc_id"].to_numpy()[keep], "n_tokens": n[keep], "repeats": count[keep]}))
             yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"mix_id": [], "source": [], "doc_id": [], "n_tokens": [], "repeats": []})
 
-    return ranked(sizes, ["source", "n_tokens"], ["uid"], seed).drop("uid").mapInPandas(choose, "mix_id int, source string, doc_id long, n_tokens long, repeats int")
+    return ranked(sizes, ["source", "n_tokens"], ["doc_id", "uid"], seed).drop("uid").mapInPandas(choose, "mix_id int, source string, doc_id long, n_tokens long, repeats int")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

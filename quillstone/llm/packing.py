@@ -1,10 +1,11 @@
 """Filling fixed-capacity containers with items of varying length.
 
 The global histogram of item lengths - at most one count for each length up to the capacity - goes to the driver.
-Dynamic programming over it chooses the bucket boundaries that waste least padding. Buckets are emptied from the longest
-down: a container opens with the longest length left and is topped up, within its token budget, with the longest
-lengths that still fit, first of its own bucket and then of shorter ones; equal containers are planned at once, with
-their number. Items then find their places by their rank among the items of their length, without moving.
+Dynamic programming over it chooses the bucket boundaries that waste least padding. Inside each bucket batches are formed
+within the token budget as if every item were as long as the bucket's end. A second step, which can be left out, tops
+the batches up: room that padding would have taken goes to items of shorter buckets, the longest that fit first, and
+then to what is left of the own bucket. Equal containers are planned at once, with their number. Items then find their
+places by their rank among the items of their length, without moving.
 """
 
 from __future__ import annotations
@@ -22,46 +23,55 @@ from quillstone.llm.tokens import TOKENIZER, TOKENIZERS, ranked, sized
 from quillstone.runtime import cut
 
 
-def boundaries(counts: np.ndarray, buckets: int = 16) -> list[int]:
+#: length buckets for each container size
+BUCKETS = 64
+
+
+def boundaries(counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
     """Upper ends of the length buckets that minimise padding: ``counts[n]`` items of length ``n``, each padded to its bucket's end.
 
-    Exact dynamic programming over the lengths that occur; with more than 1,024 of them neighbours are first merged
-    into runs of equal weight, whose ends alone may be boundaries.
+    Exact dynamic programming over all lengths that occur. The padding of a bucket from ``i`` (exclusive) to ``j`` is
+    ``end_j * (items_j - items_i) - (tokens_j - tokens_i)``: as a function of ``end_j`` a line for each ``i``, so the
+    best start of every bucket is read off a lower hull of lines in one sweep for each number of buckets.
     """
-    lengths = np.flatnonzero(counts)
-    lengths = lengths[lengths > 0]
-    if not len(lengths):
+    ends = [int(n) for n in np.flatnonzero(counts) if n > 0]
+    if not ends:
         return []
-    if len(lengths) > 1024:
-        weight = np.cumsum(counts[lengths])
-        ends = np.unique(np.searchsorted(weight, np.linspace(0, weight[-1], 1025)[1:]).clip(0, len(lengths) - 1))
-        candidates = lengths[ends]
-    else:
-        candidates = lengths
-    n = np.array([counts[1 : c + 1].sum() for c in candidates], float)
-    total = np.array([(counts[1 : c + 1] * np.arange(1, c + 1)).sum() for c in candidates], float)
-    n0, t0 = np.r_[0, n], np.r_[0, total]
-    m = len(candidates)
-    cost = np.full(m + 1, np.inf)
-    cost[0] = 0
-    choice = []
+    m = len(ends)
+    own = np.asarray(counts, np.int64)[ends]
+    items = [0, *np.cumsum(own).tolist()]
+    tokens = [0, *np.cumsum(own * np.array(ends)).tolist()]
+    cost: list[float] = [0, *[float("inf")] * m]
+    choice: list[list[int]] = []
     for _ in range(min(buckets, m)):
-        # padding of a bucket from i (exclusive) to j: end_j * items - tokens
-        best = np.full(m + 1, np.inf)
-        arg = np.zeros(m + 1, int)
-        best[0] = 0
+        best, start = [0, *[float("inf")] * m], [0] * (m + 1)
+        hull: list[tuple[int, float, int]] = []
+        at = 0
         for j in range(1, m + 1):
-            c = cost[:j] + candidates[j - 1] * (n0[j] - n0[:j]) - (t0[j] - t0[:j])
-            arg[j] = int(c.argmin())
-            best[j] = c[arg[j]]
+            if cost[j - 1] < float("inf"):
+                slope, level = -items[j - 1], cost[j - 1] + tokens[j - 1]
+                while len(hull) - at >= 2:
+                    (s1, l1, _), (s2, l2, _) = hull[-2], hull[-1]
+                    # the middle line is never the lowest
+                    if (level - l1) * (s1 - s2) <= (l2 - l1) * (s1 - slope):
+                        hull.pop()
+                    else:
+                        break
+                hull.append((slope, level, j - 1))
+            x = ends[j - 1]
+            while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] <= hull[at][0] * x + hull[at][1]:
+                at += 1
+            if at < len(hull):
+                slope, level, start[j] = hull[at]
+                best[j] = slope * x + level + x * items[j] - tokens[j]
         cost = best
-        choice.append(arg)
+        choice.append(start)
     out, j = [], m
-    for arg in reversed(choice):
+    for start in reversed(choice):
         if j == 0:
             break
-        out.append(int(candidates[j - 1]))
-        j = int(arg[j])
+        out.append(ends[j - 1])
+        j = start[j]
     return sorted(out)
 
 
@@ -75,42 +85,41 @@ class Plan:
     slots: list[tuple[int, int]]
 
 
-def plan(counts: np.ndarray, capacity: int, sep: int, ends: list[int]) -> list[Plan]:
-    """How containers are filled from the histogram; every step uses up at least one length, so plans stay few."""
+def plan(counts: np.ndarray, capacity: int, sep: int, ends: list[int], top_up: bool = True) -> list[Plan]:
+    """How containers are filled from the histogram, bucket by bucket from the longest down; every step uses up at least one length, so plans stay few."""
     left = {int(n): int(counts[n]) for n in np.flatnonzero(counts) if n > 0}
     order = sorted(left)
     plans: list[Plan] = []
     first = 0
     while order:
-        longest = order[-1]
-        bucket = bisect.bisect_left(ends, longest)
-
-        slots: list[tuple[int, int]] = []
-        room = capacity
-        opened = False
-        at = len(order) - 1
-        # its own bucket first, then shorter ones: the longest that fits, as often as it fits
-        while at >= 0:
-            n = order[at]
-            need = n + (sep if opened else 0)
-            if need > room:
-                at = bisect.bisect_right(order, room - (sep if opened else 0), 0, at) - 1
-                continue
-            most = 1 + (room - need) // (n + sep)
-            take = min(most, left[n])
-            slots.append((n, take))
-            room -= need + (take - 1) * (n + sep)
-            opened = True
-            at -= 1
-        number = min(left[n] // k for n, k in slots)
-        plans.append(Plan(first, number, bucket, slots))
+        bucket = bisect.bisect_left(ends, order[-1])
+        low = bisect.bisect_right(order, ends[bucket - 1]) if bucket else 0
+        slots: dict[int, int] = {}
+        # the batch: as many items of the bucket as fit when all are padded to its end
+        want = (capacity + sep) // (ends[bucket] + sep)
+        for n in reversed(order[low:]):
+            if not want:
+                break
+            take = min(want, left[n])
+            slots[n] = take
+            want -= take
+        room = capacity - sum((n + sep) * k for n, k in slots.items()) + sep
+        if top_up:
+            for lo, hi in ((0, low), (low, len(order))):
+                at = bisect.bisect_right(order, room - sep, lo, hi) - 1
+                while at >= lo:
+                    n = order[at]
+                    take = min(room // (n + sep), left[n] - slots.get(n, 0))
+                    if take > 0:
+                        slots[n] = slots.get(n, 0) + take
+                        room -= take * (n + sep)
+                    at = bisect.bisect_right(order, room - sep, lo, at) - 1
+        number = min(left[n] // k for n, k in slots.items())
+        plans.append(Plan(first, number, bucket, sorted(slots.items(), reverse=True)))
         first += number
-        for n, k in slots:
+        for n, k in slots.items():
             left[n] -= number * k
-            if not left[n]:
-                del left[n]
-        order = [n for n in order if n in left]
-
+        order = [n for n in order if left[n]]
     return plans
 
 
@@ -150,12 +159,13 @@ def items_of(sizes: DataFrame, containers: DataFrame) -> DataFrame:
 MOST_SIZES = 64
 
 
-def pack(documents: DataFrame, containers: DataFrame, buckets: int = 16, tokenizer: str = TOKENIZER, folder: str = TOKENIZERS) -> DataFrame:
+def pack(documents: DataFrame, containers: DataFrame, buckets: int = BUCKETS, top_up: bool = True, tokenizer: str = TOKENIZER, folder: str = TOKENIZERS) -> DataFrame:
     """``container_id, container_no, slot, doc_id, part, start_token, length, bucket`` for every item in containers of every size.
 
     An item over the capacity is cut into full containers and a rest; nothing else is cut. Null and empty texts have no
     tokens and take no room: they have no row. A null capacity or one of no tokens is left out; a null ``sep_tokens``
-    is 0. A null or repeated ``doc_id`` is an item of its own. Other columns aren't read.
+    is 0. A null or repeated ``doc_id`` is an item of its own. Other columns aren't read. ``top_up`` false leaves the
+    batches as the buckets' padding bounds them. The result depends on the rows alone, not on how they are partitioned.
     """
     spark = documents.sparkSession
     sizes_table = containers.filter("n_tokens > 0 and container_id is not null").select(F.col("container_id").cast("int"), F.col("n_tokens").cast("int").alias("capacity"), F.coalesce(F.col("sep_tokens").cast("int"), F.lit(0)).alias("sep")).distinct()
@@ -164,8 +174,9 @@ def pack(documents: DataFrame, containers: DataFrame, buckets: int = 16, tokeniz
         raise ValueError(f"more than {MOST_SIZES} container sizes")
     schema = "container_id int, capacity int, sep int"
     wanted = spark.createDataFrame(sizes_list, schema)
-    # a number of its own tells equal ids apart
-    sizes = cut(sized(documents).filter("n_tokens > 0").withColumn("uid", F.monotonically_increasing_id()))
+    # the text tells equal ids apart; rows equal in both are alike in every column of the result
+    told = documents.select("doc_id", "text", F.xxhash64("text").alias("uid"))
+    sizes = cut(sized(told, ("doc_id", "uid"), tokenizer, folder).filter("n_tokens > 0"))
     items = items_of(sizes, wanted)
     histogram = items.groupBy("container_id", "length").count().collect()
     places: dict[int, tuple[Places, list[int]]] = {}
@@ -175,7 +186,7 @@ def pack(documents: DataFrame, containers: DataFrame, buckets: int = 16, tokeniz
             if r["container_id"] == cid:
                 counts[r["length"]] = r["count"]
         ends = boundaries(counts, buckets)
-        places[cid] = (Places(plan(counts, capacity, sep, ends)), ends)
+        places[cid] = (Places(plan(counts, capacity, sep, ends, top_up)), ends)
     shared = spark.sparkContext.broadcast(places)
 
     def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,7 +199,7 @@ def pack(documents: DataFrame, containers: DataFrame, buckets: int = 16, tokeniz
                 bucket[at] = bisect.bisect_left(ends, length)
             yield f.assign(container_no=number, slot=slot, bucket=bucket)[["container_id", "container_no", "slot", "doc_id", "part", "start_token", "length", "bucket"]]
 
-    rows = ranked(items.select("container_id", "length", "doc_id", "uid", "part", (F.col("part") * F.col("capacity")).cast("long").alias("start_token")), ["container_id", "length"], ["uid", "part"])
+    rows = ranked(items.select("container_id", "length", "doc_id", "uid", "part", (F.col("part") * F.col("capacity")).cast("long").alias("start_token")), ["container_id", "length"], ["doc_id", "uid", "part"])
     return rows.drop("uid").mapInPandas(put, "container_id int, container_no long, slot int, doc_id long, part int, start_token long, length int, bucket int")
 
 

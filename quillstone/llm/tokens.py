@@ -6,7 +6,6 @@ import base64
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,14 +25,20 @@ _CUT = re.compile(r"(?<=\S)(?=\n)")
 REMEMBERED = 400_000
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """Token counter of a rank file."""
-    import tiktoken
+_ENCODERS: dict[str, object] = {}
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+def encoder(path: str, data: bytes | None = None):
+    """Token counter of a rank file, read from ``path`` unless its bytes are given."""
+    if path not in _ENCODERS:
+        import tiktoken
+
+        if data is None:
+            with open(path, "rb") as f:
+                data = f.read()
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
+        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[path]
 
 
 def count(texts: list[str | None], path: str, memo: dict[str, int]) -> list[int]:
@@ -50,11 +55,17 @@ _MEMO: dict[str, dict[str, int]] = {}
 
 
 def sized(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), tokenizer: str = TOKENIZER, folder: str = TOKENIZERS) -> DataFrame:
-    """``keep`` columns and ``n_tokens`` (long) of every document: one pass over the scan, no shuffle."""
+    """``keep`` columns and ``n_tokens`` (long) of every document: one pass over the scan, no shuffle.
+
+    Only the driver needs the rank file (about a megabyte); its bytes travel with the job.
+    """
     path = os.path.join(folder, tokenizer)
     fields = [documents.schema[c] for c in keep]
+    with open(path, "rb") as f:
+        shared = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder(path, shared.value)
         memo = _MEMO.setdefault(path, {})
         for batch in batches:
             n = count(batch.column(len(keep)).to_pylist(), path, memo)

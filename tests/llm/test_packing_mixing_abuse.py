@@ -36,6 +36,74 @@ def test_boundaries_are_optimal():
     assert cost(packing.boundaries(counts, 3)) == best and packing.boundaries(np.zeros(5, int)) == []
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.dictionaries(st.integers(1, 14), st.integers(1, 9), min_size=1, max_size=7), st.integers(1, 4))
+def test_boundaries_against_every_choice(have, buckets):
+    from itertools import combinations
+
+    counts = np.zeros(15, int)
+    for n, c in have.items():
+        counts[n] = c
+    lengths = sorted(have)
+
+    def cost(ends):
+        return sum(c * (next(e for e in ends if e >= n) - n) for n, c in have.items())
+
+    best = min(cost(sorted({*e, lengths[-1]})) for k in range(buckets) for e in combinations(lengths[:-1], min(k, len(lengths) - 1)))
+    assert cost(packing.boundaries(counts, buckets)) == best
+
+
+def test_boundaries_of_thousands_of_lengths():
+    r = np.random.default_rng(1)
+    counts = r.integers(1, 50, 5001)
+    counts[0] = 0
+    ends = packing.boundaries(counts, 3)
+    items, tokens_ = np.cumsum(counts), np.cumsum(counts * np.arange(5001))
+
+    def cost(a, b, c):
+        return sum(e * (items[e] - items[s]) - (tokens_[e] - tokens_[s]) for s, e in ((0, a), (a, b), (b, c)))
+
+    best = cost(*ends)
+    assert ends[-1] == 5000 and all(best <= cost(ends[0] + i, ends[1] + j, 5000) for i in range(-3, 4) for j in range(-3, 4))
+
+
+def test_containers_follow_the_boundaries():
+    counts = np.zeros(2049, np.int64)
+    r = np.random.default_rng(2)
+    for n in r.lognormal(5.5, 1, 20_000).clip(1, 2048).astype(int):
+        counts[n] += 1
+    of = {}
+    for name, ends in (("dp", packing.boundaries(counts)), ("few", packing.boundaries(counts, 8)), ("one", [2048])):
+        for top_up in (False, True):
+            plans = packing.plan(counts, 2048, 1, ends, top_up)
+            assert sum(p.number * n * k for p in plans for n, k in p.slots) == (counts * np.arange(2049)).sum()
+            of[name, top_up] = [(p.number, p.slots) for p in plans]
+    assert all(of[a, t] != of[b, t] for t in (False, True) for a, b in (("dp", "few"), ("few", "one"), ("dp", "one")))
+    n = {k: sum(c for c, _ in v) for k, v in of.items()}
+    assert n["dp", False] < n["one", False] and n["dp", True] <= n["dp", False]
+
+
+def test_layout_of_the_rows_does_not_matter(spark):
+    d = docs(spark)
+    sizes = spark.createDataFrame([(1, 64, 1)], "container_id int, n_tokens int, sep_tokens int")
+    targets = spark.createDataFrame([(1, "s", 1.0, 1), (1, "t", 2.0, 1)], "mix_id int, source string, target_share double, max_repeats int")
+
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    packed = [rows(packing.pack(d.repartition(n), sizes)) for n in (1, 3, 7)]
+    mixed = [rows(mixing.mix(d.repartition(n), targets)) for n in (1, 3, 7)]
+    assert packed[0] == packed[1] == packed[2] and mixed[0] == mixed[1] == mixed[2]
+
+
+def test_subset_widens_the_knapsack_before_it_leaves_a_gap():
+    # only all of the odd length together with the long ones meet the budget
+    counts = {9_973: 40, 16_000: 40}
+    budget = 9_973 * 17 + 16_000 * 9
+    take = mixing.subset(counts, budget)
+    assert sum(n * k for n, k in take.items()) == budget
+
+
 def docs(spark):
     texts = [(i, "s" if i % 3 else "t", "word " * (i % 17 + 1)) for i in range(120)] + [(200, "s", None), (201, "s", ""), (202, "s", "a b c " * 400), (5, "s", "again " * 3), (None, None, "no id")]
     return spark.createDataFrame([(*t, 9, "x") for t in texts], "doc_id long, source string, text string, n_tokens int, bucket string")
