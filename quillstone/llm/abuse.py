@@ -9,26 +9,37 @@ Equal windows score alike, so each distinct window is scored once per worker.
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstone.llm.abuse_grammar import INSULTS, Writer
+from quillstone.llm.abuse_grammar import PLAIN, RULES, Writer
 from quillstone.llm.gru import BiGRU
+from quillstone.runtime import cut
 
 #: words of a window, and how far the next one starts
 WINDOW, STRIDE = 24, 12
 #: rated documents used for training at most
 LABELLED = 6000
+#: unrated documents read besides, whose windows are taken for harmless unless they look abusive
+UNRATED = 500
+#: and letters of all these together
+LABELLED_CHARS = 60_000_000
 #: turns of mining rated texts for hard windows
-ROUNDS = 3
+ROUNDS = 2
+#: windows drawn from texts rated clean in each turn, besides the hard ones
+DRAWN = 6000
 #: a document is abusive from this score on
 THRESHOLD = 0.5
 
@@ -43,7 +54,6 @@ _RUN = re.compile(r"([^\W\d_])\1{2,}")
 _TOKEN = re.compile(r"[^\W_][\w*#@$'’]*|!{2,}|\?{2,}")
 _DIGITS = re.compile(r"\b\d+\b")
 _PIECES = re.compile(r"(?<=[.!?])\s+|\n+")
-_BAD = sorted({w.lower() for ws in INSULTS.values() for w in ws} | set("fuck fucking fucker shit cock tits cum dick naked nude porn blowjob blowjobs vermin filth kill slut sluts whores bastards idiots morons".split()))
 
 
 def _plain(word: str) -> str:
@@ -56,24 +66,15 @@ def _word(raw: str) -> str:
     w = raw.lower().strip("'’")
     if w.isdigit():
         return "0"
-    masked = "*" in w or "#" in w
     if re.search(r"[@$0-9€]", w) and re.search(r"[^\W\d_]", w):
         leet = w.translate(_LEET)
         body = re.sub(r"\d+$", "", leet)
         w = body if re.fullmatch(r"[^\W\d_]+[*#]*[^\W\d_]*", body) and not re.fullmatch(r"[^\W\d_]+\d+", raw.lower()) else re.sub(r"\d+", "0", w)
     w = _RUN.sub(r"\1", w)
     w = _plain(w.replace("#", "*").replace("ß", "ss"))
-    if masked and "*" in w.strip("*"):
-        pattern = re.compile(w.strip("*").replace("*", ".") + "$")
-        hits = [b for b in _MASKABLE if len(b) == len(w.strip("*")) and pattern.match(b)]
-        if hits:
-            return hits[0]
     return w
 
 
-_MASKABLE = [_plain(b) for b in _BAD]
-
-
 def tokens(text: str) -> list[str]:
     """Normalised words of a piece of text; digits are one token, runs of signs another."""
     t = _ZERO.sub("", text)
@@ -117,34 +118,31 @@ def model_windows(text: str) -> list[list[str]]:
     return [w for p in pieces(text) for w in windows(tokens(p))]
 
 
-def base_model(seed: int = 3, remarks: int = 5000, harmless: int = 6500) -> tuple[list[list[str]], np.ndarray]:
-    """Windows and labels the grammar writes."""
+def base_model(seed: int = 3, remarks: int = 8000, harmless: int = 5000) -> tuple[list[list[str]], np.ndarray]:
+    """Windows and labels the grammar writes. A remark that fills more than one window is replaced by another, since which of its windows abuses isn't known."""
     w = Writer(seed)
     xs, ys = [], []
-    for n, make, y in ((remarks, w.remark, 1.0), (harmless, w.harmless, 0.0)):
-        for _ in range(n):
-            found = [t for p in pieces(make()) for t in windows(tokens(p))]
-            if y and len(found) > 1:
-                # the remark stands in one of them
-                marked = [f for f in found if len(f) >= 1]
-                xs.append(max(marked, key=len) if n == 0 else [t for f in marked for t in f][:WINDOW])
-                ys.append(y)
-            else:
-                for f in found:
-                    xs.append(f)
-                    ys.append(y)
+    while len(xs) < remarks:
+        found = tokens(" ".join(pieces(w.remark())))
+        if 0 < len(found) <= WINDOW:
+            xs.append(found)
+            ys.append(1.0)
+    for _ in range(harmless):
+        for found in model_windows(w.harmless()):
+            xs.append(found)
+            ys.append(0.0)
     return xs, np.array(ys)
 
 
 def train(labelled: list[tuple[str, float]], seed: int = 3) -> BiGRU:
-    """The network from the grammar and rated texts ``(text, share of raters who call it abusive)``."""
+    """The network from the grammar and texts ``(text, share of raters who call it abusive)``; a share of -1 stands for an unrated text."""
     xs, ys = base_model(seed)
     model = BiGRU(seed=seed)
-    model.fit(xs, ys, epochs=4, seed=seed)
+    model.fit(xs, ys, epochs=3, seed=seed)
     if not labelled:
         return model
-    docs = [(list({tuple(w) for w in model_windows(t)}), y) for t, y in labelled]
-    keys = list({w for ws, _ in docs for w in ws})
+    docs = [(sorted({tuple(w) for w in model_windows(t)}), y) for t, y in labelled]
+    keys = sorted({w for ws, _ in docs for w in ws})
     # windows alike but for words that hardly any other document has, such as names, are one pattern
     uses: dict[str, int] = {}
     for ws, _ in docs:
@@ -157,26 +155,39 @@ def train(labelled: list[tuple[str, float]], seed: int = 3) -> BiGRU:
             for w in {shape[w] for w in ws}:
                 clean[w] = clean.get(w, 0) + 1
     rng = np.random.default_rng(seed)
+    # a draw takes patterns rather than windows, so that frequent ones don't crowd out the rest
+    drawable = sorted({shape[w]: w for ws, y in docs if y <= 0 for w in ws}.values())
+    more: dict[tuple, tuple[float, float]] = {}
     for turn in range(ROUNDS):
         score = dict(zip(keys, model.score([list(k) for k in keys]).tolist(), strict=True))
-        more: dict[tuple, tuple[float, float]] = {}
+        per_shape: dict[tuple, int] = {}
         for ws, y in docs:
             if not ws:
                 continue
             ranked = sorted(ws, key=lambda w: -score[w])
             if y > 0.5:
-                # a rating without any likely window is taken for a slip of the rater, as is a window that clean texts share
-                if score[ranked[0]] > 0.5 and clean.get(shape[ranked[0]], 0) < 2:
-                    more[ranked[0]] = (1.0, 1.0)
-            elif y == 0:
-                # the likeliest windows of a clean text teach most; one far out and alone may be the rater's slip
-                for w in ranked[:6]:
-                    if score[w] < 0.97 or clean[shape[w]] >= 2:
-                        more[w] = (0.0, 1.5 if score[w] > 0.1 else 0.5)
-                for k in rng.integers(0, len(ws), 4):
-                    more.setdefault(ws[k], (0.0, 0.5))
+                # the likeliest window that clean texts don't share; a rating without any is taken for a slip of the rater
+                own = [w for w in ranked[:8] if score[w] > 0.3 and clean.get(shape[w], 0) < 2]
+                if own:
+                    more[own[0]] = (1.0, 1.5)
+            elif y <= 0:
+                sure, often = (0.97, 2) if y == 0 else (0.9, 4)
+                # likely windows of a clean text teach most; one far out and alone may be the rater's slip
+                for w in ranked:
+                    if score[w] <= 0.05:
+                        break
+                    if (score[w] < sure or clean[shape[w]] >= often) and per_shape.setdefault(shape[w], 0) < 4:
+                        per_shape[shape[w]] += 1
+                        more[w] = (0.0, 1.5)
+        for k in rng.permutation(len(drawable))[:DRAWN]:
+            if score[drawable[k]] < 0.9 or clean[shape[drawable[k]]] >= 4:
+                more.setdefault(drawable[k], (0.0, 1.0))
         own = list(more)
-        model.fit(xs + [list(w) for w in own], np.concatenate([ys, [more[w][0] for w in own]]), np.concatenate([np.ones(len(ys)), [more[w][1] for w in own]]), epochs=2, rate=3e-3 / (turn + 1), seed=seed + 1 + turn)
+        part = rng.permutation(len(xs))[: len(xs) // 2]
+        windows_ = [xs[i] for i in part] + [list(w) for w in own]
+        targets = np.concatenate([ys[part], [more[w][0] for w in own]])
+        weights = np.concatenate([np.ones(len(part)), [more[w][1] for w in own]])
+        model.fit(windows_, targets, weights, epochs=2, rate=3e-3 / (turn + 1), seed=seed + 1 + turn)
     return model
 
 
@@ -184,13 +195,18 @@ def train(labelled: list[tuple[str, float]], seed: int = 3) -> BiGRU:
 # Spark
 
 
-def labelled_texts(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> list[tuple[str, float]]:
-    """Texts of at most ``most`` rated documents with the share of raters who call them abusive; which ones is fixed by a hash."""
+def labelled_texts(documents: DataFrame, labels: DataFrame, most: int = LABELLED, unrated: int = UNRATED, chars: int = LABELLED_CHARS) -> DataFrame:
+    """``text, y`` of at most ``most`` rated and ``unrated`` other documents, of ``chars`` letters together; which ones is fixed by a hash.
+
+    ``y`` is the share of raters who call the document abusive, -1 for an unrated one.
+    """
     votes = labels.filter("abusive is not null and doc_id is not null").select("doc_id", "rater_id", "abusive").distinct()
-    rated = votes.groupBy("doc_id").agg(F.avg("abusive").alias("y"))
-    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").orderBy("doc_id")
-    return [(r["text"], float(r["y"])) for r in rows.select("text", "y").collect()]
+    rated = votes.groupBy("doc_id").agg(F.avg("abusive").alias("y")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most)
+    others = documents.select("doc_id").filter("doc_id is not null").join(votes, "doc_id", "left_anti").select("doc_id", F.lit(-1.0).alias("y"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(unrated)
+    rows = documents.select("doc_id", "text").filter("text <> ''").join(F.broadcast(rated.unionByName(others)), "doc_id")
+    # at most as many rows as documents were chosen, so one task may order them
+    before = W.orderBy(F.col("y") < 0, "h", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return rows.withColumn("read", F.sum(F.length("text").cast("long")).over(before)).filter(F.col("read") <= chars).select("text", F.col("y").cast("double").alias("y"))
 
 
 _MEMO: dict[str, float] = {}
@@ -209,9 +225,7 @@ def scored(documents: DataFrame, model: BiGRU, keep: tuple[str, ...] = ("doc_id"
     fields = [documents.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = BiGRU.__new__(BiGRU)
-        net.p, net.known = shared.value
-        net.dim, net.hidden = net.p["E"].shape[1], net.p["Uf"].shape[0]
+        net = BiGRU.of(*shared.value)
         if _OWNER[0] != stamp or len(_MEMO) > REMEMBERED:
             _MEMO.clear()
             _OWNER[0] = stamp
@@ -238,8 +252,45 @@ def scored(documents: DataFrame, model: BiGRU, keep: tuple[str, ...] = ("doc_id"
     return documents.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def fitted(documents: DataFrame, labels: DataFrame) -> BiGRU:
-    return train(labelled_texts(documents, labels))
+_FITTED: dict[tuple, BiGRU] = {}
+
+
+def fitted(documents: DataFrame, labels: DataFrame, store: str | None = None, seed: int = 3) -> BiGRU:
+    """The network trained on ``labels``: in one task, since the rated texts are bounded; only its weights reach the driver.
+
+    The weights are kept under a key made of the rated texts, the grammar and the seed: for the session, and in the
+    folder ``store`` (by default that of the setting ``quillstone.models``, if any) for later ones.
+    """
+    spark = documents.sparkSession
+    rated = cut(labelled_texts(documents, labels))
+    stamp = rated.agg(F.count("*"), F.sum(F.xxhash64("text", "y") % 1_000_003), F.sum(F.xxhash64("y", "text") % 999_983)).first()
+    rules = zlib.crc32(repr((RULES, PLAIN, ROUNDS, DRAWN, WINDOW)).encode())
+    key = (*[int(x or 0) for x in stamp], rules, seed)
+    if key in _FITTED:
+        return _FITTED[key]
+    store = store or spark.conf.get("quillstone.models", None)
+    folder = f"{store.rstrip('/')}/abuse-{'-'.join(map(str, key))}" if store else None
+    row = None
+    if folder:
+        try:
+            row = spark.read.parquet(folder).first()
+        except AnalysisException:
+            row = None
+    if row is None:
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            got = pd.concat(list(frames), ignore_index=True).dropna().sort_values(["text", "y"])
+            model = train(list(zip(got["text"], got["y"].astype(float), strict=True)), seed)
+            yield pd.DataFrame({"weights": [pickle.dumps((model.p, model.known))]})
+
+        # a row of nulls keeps the task alive where no text is rated
+        made = rated.unionByName(spark.createDataFrame([(None, None)], "text string, y double")).coalesce(1).mapInPandas(run, "weights binary")
+        if folder:
+            made.write.mode("overwrite").parquet(folder)
+            made = spark.read.parquet(folder)
+        row = made.first()
+    _FITTED[key] = BiGRU.of(*pickle.loads(row["weights"]))
+    return _FITTED[key]
 
 
 def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:

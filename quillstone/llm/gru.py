@@ -17,7 +17,7 @@ def word_row(word: str) -> int:
 
 def char_rows(word: str) -> list[int]:
     """Hashed runs of three and four letters, the ends marked."""
-    w = f"<{word[:24]}>"
+    w = f"<{word}>"
     return [1 + zlib.crc32(b"c" + w[i : i + n].encode()) % (CHAR_ROWS - 1) for n in (3, 4) for i in range(max(1, len(w) - n + 1))]
 
 
@@ -25,6 +25,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
+def _sums(count: int, owner: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The rows added up by owner: ``count`` rows."""
+    out = np.zeros((count, rows.shape[1]), np.float32)
+    if len(owner):
+        if (np.diff(owner) < 0).any():
+            order = np.argsort(owner, kind="stable")
+            owner, rows = owner[order], rows[order]
+        starts = np.flatnonzero(np.r_[True, np.diff(owner) > 0])
+        out[owner[starts]] = np.add.reduceat(rows, starts, axis=0)
+    return out
+
+
 class BiGRU:
     """Scores token sequences. Tokens enter as a word row and the mean of their character rows."""
 
@@ -46,6 +58,14 @@ class BiGRU:
         self.s = {k: np.zeros_like(x) for k, x in self.p.items()}
         self.t = 0
 
+    @classmethod
+    def of(cls, weights: dict[str, np.ndarray], known: frozenset[str]) -> "BiGRU":
+        """A trained network from its weights, for scoring."""
+        net = cls.__new__(cls)
+        net.p, net.known = weights, known
+        net.dim, net.hidden = weights["E"].shape[1], weights["Uf"].shape[0]
+        return net
+
     # -- tokens ------------------------------------------------------------------------------------------------
     def encode(self, vocab: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word rows of a vocabulary and its character rows as flat indices with owners."""
@@ -60,9 +80,7 @@ class BiGRU:
     def vectors(self, rows: np.ndarray, flat: np.ndarray, owner: np.ndarray) -> np.ndarray:
         n = len(rows)
         count = np.maximum(np.bincount(owner, minlength=n), 1)[:, None]
-        sums = np.zeros((n, self.dim), np.float32)
-        np.add.at(sums, owner, self.p["C"][flat])
-        return np.concatenate([self.p["E"][rows], sums / count], 1).astype(np.float32)
+        return np.concatenate([self.p["E"][rows], _sums(n, owner, self.p["C"][flat]) / count], 1).astype(np.float32)
 
     # -- one direction -----------------------------------------------------------------------------------------
     def _run(self, k: str, xw: np.ndarray, mask: np.ndarray, keep: bool):
@@ -108,7 +126,7 @@ class BiGRU:
         return dxw
 
     # -- training ----------------------------------------------------------------------------------------------
-    def fit(self, windows: list[list[str]], labels: np.ndarray, weights: np.ndarray | None = None, epochs: int = 5, batch: int = 96, rate: float = 4e-3, seed: int = 0) -> None:
+    def fit(self, windows: list[list[str]], labels: np.ndarray, weights: np.ndarray | None = None, epochs: int = 5, batch: int = 128, rate: float = 4e-3, seed: int = 0) -> None:
         vocab = sorted({w for x in windows for w in x}) or ["x"]
         ids = {w: i for i, w in enumerate(vocab)}
         uses: dict[str, int] = {}
@@ -144,9 +162,7 @@ class BiGRU:
 
     def _step(self, rows, cf, co, count, inv, mask, y, w, lr) -> None:
         p, h = self.p, self.hidden
-        sums = np.zeros((len(rows), self.dim), np.float32)
-        np.add.at(sums, co, p["C"][cf])
-        vec = np.concatenate([p["E"][rows], sums / count], 1)
+        vec = np.concatenate([p["E"][rows], _sums(len(rows), co, p["C"][cf]) / count], 1)
         x = vec[inv]
         fw, fs = self._run("f", x @ p["Wf"] + p["bf"], mask, True)
         bw, bs = self._run("b", x @ p["Wb"] + p["bb"], mask, True)
@@ -178,8 +194,7 @@ class BiGRU:
             g[f"W{k}"] += x.reshape(-1, 2 * self.dim).T @ flat
             g[f"b{k}"] += flat.sum(0)
             dx += dxw @ p[f"W{k}"].T
-        dvec = np.zeros_like(vec)
-        np.add.at(dvec, inv.ravel(), dx.reshape(-1, dx.shape[2]))
+        dvec = _sums(len(vec), inv.ravel(), dx.reshape(-1, dx.shape[2]))
         # the embeddings: only the rows that occurred move
         self._sparse("E", rows, dvec[:, : self.dim], lr)
         self._sparse("C", cf, (dvec[:, self.dim :] / count)[co], lr)
@@ -193,8 +208,7 @@ class BiGRU:
 
     def _sparse(self, k: str, rows: np.ndarray, grad: np.ndarray, lr: float) -> None:
         used, inv = np.unique(rows, return_inverse=True)
-        total = np.zeros((len(used), self.dim), np.float32)
-        np.add.at(total, inv, grad)
+        total = _sums(len(used), inv.ravel(), grad)
         self.s[k][used] += total * total
         self.p[k][used] -= 5 * lr * total / (np.sqrt(self.s[k][used]) + 1e-6)
 
