@@ -41,7 +41,7 @@ ROUNDS = 2
 #: windows drawn from texts rated clean in each turn, besides the hard ones
 DRAWN = 6000
 #: a document is abusive from this score on
-THRESHOLD = 0.5
+THRESHOLD = 0.7
 
 # fixed values: letters that look like others
 LOOKALIKES = str.maketrans(
