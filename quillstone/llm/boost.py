@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: F1 that a lower threshold may cost
+NEAR = 0.006
+
+
 class Boosted:
     """Binary classifier: Newton-boosted regression trees over small integer features, probabilities calibrated on held-out rows."""
 
@@ -84,7 +88,7 @@ class Boosted:
         return out
 
     def _calibrate(self, raw: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling, then the threshold of the best F1."""
+        """Platt scaling, then the lowest threshold whose F1 is all but the best: what is missed can't be mended later."""
         a, b = 1.0, 0.0
         for _ in range(50):
             p = 1 / (1 + np.exp(-(a * raw + b)))
@@ -97,8 +101,7 @@ class Boosted:
         p = self.probability_of(raw)
         grid = np.linspace(0.1, 0.9, 33)
         f1 = [2 * (y[p >= t]).sum() / max(1, (p >= t).sum() + y.sum()) for t in grid]
-        best = np.flatnonzero(np.isclose(f1, max(f1)))
-        self.threshold = float(grid[best[len(best) // 2]])
+        self.threshold = float(grid[np.flatnonzero(np.array(f1) >= max(f1) - NEAR)[0]])
 
     def probability_of(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.scale * raw + self.shift)))

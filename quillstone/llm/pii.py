@@ -39,25 +39,29 @@ OTHER_GIVEN = (
 ).split()
 GIVEN = set(SHORT_FORMS) | set(_FULL_OF) | set(OTHER_GIVEN)
 
-# fixed values: words before an identity number issued to a person, a telephone number, a person, an address; and before numbers of things and firms
-ID_CUES = (
-    r"passport(?: no\.?| number)?|passeport(?: n°)?|reisepass(?:nummer)?|driver'?s? licen[cs]e(?: no\.?| number)?|driving licen[cs]e(?: no\.?| number)?|licen[cs]e(?: ending the form)?|führerschein(?: nr\.?|nummer)?"
-    r"|permis(?: de conduire)?|ni number|ni no\.?|national insurance(?: no\.?| number)?|ssn|social security(?: no\.?| number)?|soc\.? sec\.?(?: #| no\.?)?|tfn|tax file number"
-    r"|steuer-?id(?:entifikationsnummer)?|sozialversicherungsnummer|sv-?nr\.?|ausweis(?:nummer| nr\.?)?|personalausweis|showed id|id card|identity card|id(?: no\.?| number)?|pièce d'identité|carte d'identité"
-    r"|numéro de sécurité sociale|sécurité sociale|n° de sécu|nir|medicare(?: no\.?| number)?|national id"
-)
-PHONE_CUES = (
-    r"tel\.?|tél\.?|telefon|phone|mobile|mob\.?|cell|call(?: back)?|ring|text|fax|dial|unter|rappeler(?: le)?|appeler|rückruf(?: erbeten)?|after hours|answer on|tried|reach|hotline|handy|au|call on|ph"
-)
-PERSON_CUES = (
-    r"spoke w/|spoke with|contact|signed|fao|keys are w/|keys with|leave with|refund goes to|collected by|neighbour|neighbor|supervisor|bitte|abholung durch|retiré par|appeler|attn|attention|approved by|identity of"
-    r"|filled in by|requested by|agreed with|ansprechpartner(?: ist)?|contact sur place|signé par|please call|sold to|ship to|bill to|mr|mrs|ms|miss|dr|herr|frau|mme|m\.|delivered to|demander|care of|c/o|durch|von|par|for|with|and|und|et|ask for|nach|fragen"
-)
-ADDRESS_CUES = r"redirect to|living at|moved from|to|at|point was|next door|anschrift|adresse|address|livrer à|lieferung an|deliver to|neighbour|leave with|an|with|à|wohnhaft|demeurant|ship to|from|was"
-THING_CUES = (
-    r"po|order|bestellung|commande|quote|batch|lot|job|part|superseded by|serial|track(?: as)?|tracking|account|konto|compte|abn|acn|ein|vat|ust-?id|siret|invoice|inv|rechnung|facture|artikel|référence|ref|reference|item|sku|iso|spec|week|kw"
-    r"|weight|valid to|price list of|gate closes|rampe|quai|clause|receipt|quote no|iban|bsb|charge|model|type|doc|rev|page|kg|cartons|total|subtotal|tax|amount|est\.?|date|no|nr|n°"
-)
+# fixed values: words that stand before an identity number issued to a person, a telephone number, a person, an address; and before numbers of things and firms
+CUE_WORDS = {
+    "id": "passport|travel document|passeport|reisepass|pass|licence|license|driver licence|driving licence|driver's license|führerschein|fahrerlaubnis|permis|permis de conduire|ni|nino|national insurance|ssn|social security|soc sec|tfn|tax file"
+    "|steuer-id|steueridentifikationsnummer|steuerliche id|sozialversicherungsnummer|rentenversicherungsnummer|sv-nummer|sv-nr|ausweis|ausweisnummer|personalausweis|perso|id|id card|photo id|national id|identity|identity card|identity document"
+    "|resident permit|pièce d'identité|carte d'identité|cni|titre de séjour|sécurité sociale|insee|nir|medicare|reisepassnummer|führerscheinnummer|passnummer",
+    "phone": "tel|tél|telefon|téléphone|phone|telephone|mobile|mob|cell|call|ring|text|sms|whatsapp|fax|dial|hotline|handy|mobil|durchwahl|rufnummer|portable|standard|switchboard|appeler|rappeler|joindre|joignable|téléphoner|reach|reached|phoned|unter|au|ph|office|desk|direct line|emergency|rückruf|anrufen|answers|answer|tried|try|number",
+    "person": "contact|contact person|signed|fao|attn|attention|c/o|recipient|customer|buyer|neighbour|neighbor|supervisor|manager|driver|mr|mrs|ms|miss|dr|prof|herr|frau|mme|m|monsieur|madame|by|with|from|for|to|and|ask|tell|thank|demander|demandez|appeler|appelez|prévenir|meet|see|pay|name|witness|regards|sincerely|thanks|durch|von|mit|für|an|und|par|avec|pour|à|et|de|chez"
+    "|empfänger|besteller|ansprechpartner|kontakt|zeuge|kunde|fahrer|destinataire|interlocuteur|témoin|client|sold to|ship to|bill to|deliver to|signed by|please|bitte|of|spoke with|w",
+    "address": "address|anschrift|adresse|at|to|from|near|behind|lives at|living at|resides at|wohnhaft|wohnt in|umgezogen|livrer à|habite|domicile|an|à|au|deliver to|ship to|bill to|send to|moved to|moved from|moved|site|in|lieferadresse|lieferung an|demeurant|next door|point|was|is",
+    "thing": "po|order|bestellung|bestellnummer|commande|quote|quotation|batch|lot|job|part|serial|s/n|track|tracking|waybill|parcel|shipment|container|account|acct|konto|compte|kundennummer|customer no|abn|acn|ein|vat|ust-id|ust-idnr|siret|siren|tva|hrb|invoice|inv|rechnung|facture|artikel|artikelnummer|article|référence|réf|ref|reference|item|sku|model|type"
+    "|iso|din|en|spec|standard|norm|week|kw|weight|date|valid|clause|section|page|rev|version|receipt|iban|bsb|sort code|charge|kg|cartons|total|subtotal|tax|amount|bay|gate|ramp|rampe|quai|dock|halle|tor|docket|ticket|claim|booking|lieferschein|auftrag|company|roll|run|machine|engine|docs|doc",
+}
+# fixed values: words between a cue and its number
+LINKS = set("no number nr nummer numéro n is number's ist est lautet".split())
+# fixed values: what follows a value: what a person does, how one is reached, units, things named after people, remarks on a document
+FOLLOWERS = {
+    "does": "has had is was were will would can could called rang phoned said signed paid asked wants needs expects agreed confirmed refused waited came left wrote knows keeps holds owns lives and or hat hatte ist war wird möchte kann und a est sera était veut doit souhaite et refuse wishes may must shall",
+    "reach": "tel tél telefon phone mobile mobil portable on at under unter au of from lives re about by for with instead first before when anrufen zurückrufen avant",
+    "unit": "percent kg boxes cartons units pieces rolls pallets metres less pcs rev stück carton uhr h days",
+    "thing": "street road avenue lane square park bridge hall hotel brand set model range series kit tool label edition line pump saw lamp drill mixer chair depot branch gmbh sarl ltd inc llc corp pty kg ag",
+    "article": "the a an all every each any both der die das den alle le la les des un une its their",
+    "note": "valid expires copy copied seen noted kept checked scanned gültig valable vu born expired issued",
+}
 STREET_KIND = (
     r"avenue|ave|av|boulevard|blvd|boulv|boul|bvd|bd|circuit|cct|close|court|crt|ct|crescent|cres|drive|drv|dr|highway|hwy|lane|ln|la|parade|pde|parkway|pkwy|pky|pwy|place|pl|road|rd|square|sq|street|str|st|terrace|tce|way"
 )
@@ -95,43 +99,63 @@ _AFTER_GIVEN = re.compile(rf"\s+(?:({_W})\.?\s+)?({_W}[\w'’]*(?:[-‐­¬]\s?\
 _COMMA_INITIAL = re.compile(rf"(?<![\w@.+-])({_W}{{4,}})\s?,\s?({_W})\.?(?:\s{_W}\.?)?(?![\w'])")
 
 
+_BEFORE = re.compile(r"[^\W\d_]+(?:[-/'’][^\W\d_]+)*|[0-9]+")
+
+
 class Cues:
-    """Finds which sort of cue stands nearest before a place."""
+    """Which sort of cue stands how near before a place, and what follows it: by looking up the words around."""
 
-    names = ("id", "phone", "person", "address", "thing")
+    names = tuple(CUE_WORDS)
 
     def __init__(self):
-        parts = [ID_CUES, PHONE_CUES, PERSON_CUES, ADDRESS_CUES, THING_CUES]
-        self.one = [re.compile(rf"(?<![\w-])(?:{p})\s*[:#.°]*\s*[(\[]?\s*$", re.I) for p in parts]
-        self.any = [re.compile(rf"(?<![\w-])(?:{p})(?!\w)", re.I) for p in parts]
+        self.before: dict[str, int] = {}
+        for k, words in enumerate(CUE_WORDS.values()):
+            for w in words.split("|"):
+                self.before[w] = self.before.get(w, 0) | 1 << k
+        self.longest = max(w.count(" ") + 1 for w in self.before)
+        self.after: dict[str, int] = {}
+        for k, words in enumerate(FOLLOWERS.values()):
+            for w in words.split():
+                self.after[w] = self.after.get(w, 0) | 1 << k
 
     def features(self, before: str, after: str) -> list[int]:
-        near = re.sub(r"\s+", " ", before[-46:])
-        out = [int(p.search(near) is not None) for p in self.one]
-        for p in self.any:
-            last = None
-            for m in p.finditer(near):
-                last = m
-            gap = 3 if last is None else 0 if len(near) - last.end() < 4 else 1 if len(near) - last.end() < 16 else 2
-            out.append(gap)
-        follow = re.sub(r"\s+", " ", after[:34])
-        out.append(int(re.match(r"^[\s,;:)]*(?:anrufen|before delivery|on arrival|instead|avant midi|or write|not the office|\)|has the gate)", follow, re.I) is not None))
-        out.append(int(re.match(r"^[\s,;:)]*(?:copy kept|on file|kept on file|showed|gezeigt)", follow, re.I) is not None))
-        out.append(int(re.match(r"^[\s,]*(?:will sign|both refused|hat den|next door|living at|refused|has signed|a signé|unter|on|au|at|re|after|for|tel)\b", follow, re.I) is not None))
-        out.append(int(re.match(r"^\s*(?:percent|%|kg|cartons?|units|less|@|pcs|rev)\b", follow, re.I) is not None))
-        out.append(int(re.match(r"^\s*(?:street|road|avenue|depot|drill|brand|set|model|range|gmbh|sarl|ltd|inc|llc|corp|pty)\b", follow, re.I) is not None))
-        return out
+        """For each sort of cue its distance in words (0 next to the value, 4 for none); for each sort of follower whether it comes at once or soon."""
+        words = [m.group().lower() for m in _BEFORE.finditer(before)][-7:]
+        # what an elided article or preposition stands before
+        words = [w if w in self.before else re.sub(r"^[dl]['’]", "", w) for w in words]
+        gaps = [4] * len(CUE_WORDS)
+        at = len(words)
+        distance = 0
+        while at > 0 and distance < 4:
+            if words[at - 1] in LINKS and distance == 0:
+                at -= 1
+                continue
+            mask = 0
+            for n in range(1, self.longest + 1):
+                if n <= at:
+                    mask |= self.before.get(" ".join(words[at - n : at]), 0)
+            for k in range(len(gaps)):
+                if mask >> k & 1:
+                    gaps[k] = min(gaps[k], distance)
+            at -= 1
+            distance += 1
+        follow = [m.group().lower() for m in _BEFORE.finditer(after)][:2]
+        first = self.after.get(follow[0], 0) if follow else 0
+        second = self.after.get(follow[1], 0) if len(follow) > 1 else 0
+        return gaps + [2 if first >> k & 1 else 1 if second >> k & 1 else 0 for k in range(len(FOLLOWERS))]
 
 
 _CUES = Cues()
 _BUSINESS = {a for t in (SECTORS, BUSINESS_KINDS) for w, ab in t.items() for a in (w, *ab.split())} | set(LEGAL) | {"sons", "bros", "daughters", "partners"}
-_STREETS = set(re.findall(r"[a-z]+", STREET_KIND)) | {"straße", "strasse", "platz", "weg", "rue", "depot"}
-# fixed values: words that open sentences and never are a family or given name
+_STREETS = set(re.findall(r"[a-z]+", STREET_KIND)) | {"straße", "strasse", "platz", "weg", "rue"}
+# fixed values: common words, months and days, which never are a family or given name
 _PLAIN = set(
-    "the a an and or of to in on at by for with from after before until unless where when should if please leave contact text call track part batch job account price list date page total tax terms net thank your business description quantity amount"
-    " invoice receipt purchase order bill ship sold copy supplier buyer street road this that our each no not all any goods rear dock gate closes week pallet weight cartons quote papers send signed requested refund driver site warranty card"
-    " der die das und oder bitte ware rampe abholung durch le la les des du de et pour par avant midi contact sur place general conditions supply report inspection statement works".split()
+    "the a an and or of to in on at by for with from after before until unless where when should if please leave contact call no not all any this that these those our your their my his her its we you they he she it is are was were be been have has had do does did will would can could may must"
+    " mr mrs ms dr prof tel phone fax mobile email mail page date total price name number note notes general terms conditions invoice order"
+    " der die das den dem des ein eine und oder nicht bitte wir sie er ist sind war hat durch mit von für auf aus bei nach herr frau le la les un une des du de et ou pour par avec sans sur dans est sont il elle nous vous monsieur madame"
+    " monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december montag dienstag mittwoch donnerstag freitag samstag sonntag januar februar märz juni juli oktober dezember lundi mardi mercredi jeudi vendredi samedi dimanche".split()
 )
+_PRODUCT = set(FOLLOWERS["thing"].split())
 
 
 def _shape(text: str) -> list[int]:
@@ -205,14 +229,19 @@ def _address_end(text: str, at: int) -> int:
     return m.end() if m else at
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
+_PAIR = re.compile(r"(?<![\w@.+-])(?=[^\W\d_a-zß-öø-ÿ])([^\W\d_]{2,})(?:\s+[^\W\d_]\.)?\s+(?=[^\W\d_a-zß-öø-ÿ])([^\W\d_]{3,}(?:-[^\W\d_]{3,})?)(?![\w])")
+
+
+def candidates(text: str, words: Words) -> list[tuple[int, int, str]]:
     """Overlapping candidate spans ``(start, end, kind)``; meant to miss nothing."""
     out: set[tuple[int, int, str]] = set()
     for pattern in _EMAIL:
         for m in pattern.finditer(text):
             out.add((m.start(), m.end(), "email"))
     for m in _PHONE.finditer(text):
-        for s, e in _by_lines(m):
+        # a sentence may end between two numbers
+        stop = re.search(r"\d(?=\.\s)", m.group())
+        for s, e in _by_lines(m) + ([(m.start(), m.start() + stop.end())] if stop else []):
             if 7 <= len(re.sub(r"\D", "", text[s:e])) <= 15:
                 out.add((s, e, "phone"))
     for s, e in [x for m in _ID.finditer(text) for x in _by_lines(m)]:
@@ -243,9 +272,12 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                 out.add((m.start(), m.end(), "person"))
     for m in _PERSON_INITIAL.finditer(text):
         out.add((m.start(), m.end(), "person"))
-    for m in re.finditer(rf"(?<![\w@.+-])({_W}{{3,}})(?:\s+{_W}\.)?\s+({_W}{{4,}})(?!\w)", text):
-        a, b = m.group(1), m.group(2)
-        if a[0].isupper() and b[0].isupper() and fold(a) not in _PLAIN and fold(b) not in _PLAIN and re.search(rf"(?<!\w)(?:{PERSON_CUES})\s*[:.]?\s*$", re.sub(r"\s+", " ", text[max(0, m.start() - 30) : m.start()]), re.I):
+    # two words in capitals of which neither is common may be a name that no list holds
+    at = 0
+    while m := _PAIR.search(text, at):
+        at = m.end(1)
+        a, b = m.group(1).lower(), m.group(2).lower()
+        if a not in _PLAIN and b not in _PLAIN and b not in _STREETS and b not in _BUSINESS and a not in _BUSINESS and not (words.rank(a) or words.rank(b)):
             out.add((m.start(), m.end(), "person"))
     return sorted(out)
 
@@ -257,11 +289,13 @@ def features(text: str, start: int, end: int, kind: str, words: Words) -> list[i
     if kind == "email":
         local = re.split(r"@|\bat\b|\[at\]|\(at\)", value, maxsplit=1, flags=re.I)[0]
         return [int("@" in value), int(re.search(r"\[\s?at|\(\s?at", value, re.I) is not None), int(re.search(r"\sdot\s", value, re.I) is not None), value.count("\n"), min(len(local), 15) // 3, int(words.rank(local.strip()) > 0), int(re.search(r"\d", local) is not None), *base]
+    # numbers in the columns of a table
+    columns = [int(re.search(r"\S\s{2,}\S", value) is not None), int(re.search(r"\s\d+\.\d\d$", value) is not None), int(re.search(r"\S[^\S\n]{2,}$", text[max(0, start - 3) : start]) is not None), int(re.match(r"\s{2,}\d", text[end : end + 12]) is not None)]
     if kind == "phone":
-        return [*_shape(value), *_phone_form(value), *_id_form(value), value.count("\n"), int(text[max(0, start - 1) : start] in "-/#"), int(text[end : end + 1] == "-"), int(text[text.rfind("\n", 0, start) + 1 : start].strip() == "" and re.match(r"[ \t]*(?:\n|$)", text[end:]) is not None), *base]
+        return [*columns, *_shape(value), *_phone_form(value), *_id_form(value), value.count("\n"), int(text[max(0, start - 1) : start] in "-/#"), int(text[end : end + 1] == "-"), int(text[text.rfind("\n", 0, start) + 1 : start].strip() == "" and re.match(r"[ \t]*(?:\n|$)", text[end:]) is not None), *base]
     if kind == "id_number":
         letters = len(re.findall(r"[A-Za-z]", value))
-        return [*_shape(value), *_id_form(value), *_phone_form(value), min(letters, 6), value.count("\n"), *base]
+        return [*columns, *_shape(value), *_id_form(value), *_phone_form(value), min(letters, 6), value.count("\n"), *base]
     line = text[text.rfind("\n", 0, start) + 1 : start].strip()
     rest = text[end : end + 60]
     if kind == "address":
@@ -283,14 +317,18 @@ def features(text: str, start: int, end: int, kind: str, words: Words) -> list[i
     first = long[-1] if comma else long[0]
     after = re.findall(r"^\W*(\w+)", rest)
     nxt = after[0].lower() if after and not re.match(r"^\s*[.;:\n]", rest) else ""
-    nxt_line = re.findall(r"^\W*(\w+)", rest)
+    nxt_line = after
+    line_rest = rest.split("\n", 1)[0]
     return [
+        int(re.match(r"^(?: \w+){0,4}\s{2,}\d", line_rest) is not None), int(re.search(r"\d[.,]\d\d\s*$", line_rest) is not None), int(re.match(r"^\s{2,}\S", line_rest) is not None), int(re.match(r"^(?:[^\S\n]+[^\W\d_]+){0,3}\s*\n\s*[0-9]+\s*(?:\n|$|\s{2})", rest) is not None),
         int(comma), min(len(found), 4), int(any(len(w) == 1 for w in found)), given[0], given[-1], _case(first), _case(family), int(_case(first) == _case(family)),
         words.rank(family), min(len(family), 15) // 2, int(family.lower() in _PLAIN or fold(family) in GIVEN), int(family.lower() in _STREETS), int(family.lower() in _BUSINESS or first.lower() in _BUSINESS),
-        int(nxt in _BUSINESS), int(nxt in _STREETS or nxt in ("drill", "brand", "depot")), int(bool(nxt_line) and nxt_line[0].lower() in _BUSINESS), int(first.lower() in _PLAIN), int(not line), value.count("\n"),
+        int(nxt in _BUSINESS), int(nxt in _STREETS or nxt in _PRODUCT), int(bool(nxt_line) and nxt_line[0].lower() in _BUSINESS), int(first.lower() in _PLAIN), int(not line), value.count("\n"),
         int(words.rank(first) > 0), int(bool(re.match(r"^\s*(?:\n|$)", rest))),
         int(re.search(rf"{_W}{{4,}}\s?,\s?$", text[max(0, start - 20) : start]) is not None), int(re.search(r"(?:^|[.!?:;/\n]\s*)$", text[max(0, start - 4) : start]) is not None),
-        0 if not nxt_line else 3 if words.rank(nxt_line[0]) and nxt_line[0].islower() else 2 if nxt_line[0][0].isupper() else 1, int(re.match(r"^\s*[.,;:)(/]", rest) is not None), *base,
+        0 if not nxt_line else 3 if words.rank(nxt_line[0]) and nxt_line[0].islower() else 2 if nxt_line[0][0].isupper() else 1, int(re.match(r"^\s*[.,;:)(/]", rest) is not None), int(re.match(r"\s?:", rest) is not None),
+        int(first.lower() in _CUES.before), 0 if not (ahead := re.search(r"(\w)\w*[^\S\n]$", text[max(0, start - 24) : start])) else 3 if ahead.group(1).isdigit() else 2 if ahead.group(1).isupper() else 1,
+        int(re.search(r"\d[A-Za-z]?,?\s*(?:\w{1,8}\.?\s)?$", text[max(0, start - 14) : start]) is not None), int(re.match(r"^[,\s]*(?:[A-Z]{2,3},?\s+)?[A-Z]{0,2}\d", rest) is not None), *base,
     ]
 
 
@@ -325,7 +363,7 @@ class Finder:
         rows: dict[str, list[tuple[int, int, int]]] = {k: [] for k in KINDS}
         feats: dict[str, list[list[int]]] = {k: [] for k in KINDS}
         for n, text in enumerate(texts):
-            for s, e, kind in candidates(text):
+            for s, e, kind in candidates(text, self.words):
                 rows[kind].append((n, s, e))
                 feats[kind].append(features(text, s, e, kind, self.words))
         kept: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
@@ -376,10 +414,9 @@ def find_spans(texts: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(models, usual)
         for f in frames:
-            for at in range(0, len(f), 500):
-                part = f["text"].iloc[at : at + 500].tolist()
-                spans = [[(s, e, k, p) for s, e, k, p in row] for row in finder.spans(part)]
-                yield pd.DataFrame({"text": part, "spans": spans})
+            part = f["text"].tolist()
+            spans = [[(s, e, k, p) for s, e, k, p in row] for row in finder.spans(part)]
+            yield pd.DataFrame({"text": part, "spans": spans})
 
     return spread(texts).mapInPandas(run, f"text string, spans {SPANS}")
 

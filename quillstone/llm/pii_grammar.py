@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -12,9 +13,16 @@ from quillstone.llm.boost import Boosted
 from quillstone.llm.names import SHORT_FORMS
 from quillstone.llm.pii import KINDS, OTHER_GIVEN, Words, candidates, features
 
-_ONSET = "b bl br c cl cr d dr f fl g gl gr h j k kl kr l m n p pl pr r s sch sk sl sn sp st t tr tw v w z".split()
-_NUCLEUS = "a e i o u ai au ea ee ie oo ou".split()
-_CODA = "b ck d f g l m n nd ng nt p r rn rs s sh st t th x".split()
+# fixed values: family names of many countries; the rest is coined
+FAMILIES = (
+    "Abbott Acosta Adeyemi Ahmed Almeida Andersen Aoki Arslan Bailey Banerjee Barbieri Bauer Becker Berg Bianchi Boateng Brandt Briggs Brown Caruso Castillo Chandra Chen Costa Cruz Dahl Delgado Dubois Duarte Eriksen "
+    "Esposito Farkas Ferrari Fischer Fontaine Fraser Garcia Gallagher Girard Graves Guerrero Haas Haddad Hansen Harris Hoffmann Horvat Hughes Ibrahim Ivanova Jansen Jensen Johansson Kaplan Kaya Keller Khan Kowalczyk "
+    "Kruger Kumar Lambert Larsen Lefebvre Lehmann Lindqvist Lopez Malik Marchand Mendes Meyer Molina Moreau Murphy Nakamura Nguyen Nilsen Novak Nowak Okafor Olsen Ortega Osei Pavlov Pereira Petrov Popescu Quinn Ramirez "
+    "Rao Reid Ricci Romano Rousseau Sanchez Santos Schmidt Schneider Schulz Sharma Silva Singh Smith Sokolov Sorensen Suzuki Tanaka Thompson Torres Vargas Varga Vogel Wagner Walsh Weber Williams Wojcik Yamamoto Yilmaz Zimmermann"
+).split()
+_ONSET = "b br c ch d dr f fl g gr h j k kn l m n p pr qu r s sc sh st t tr v w y z".split()
+_NUCLEUS = "a e i o u y ai ei ia io oa oe".split()
+_CODA = " n r l s m nd ll ss rt th ck nt rg mp ld".split(" ")
 
 
 class Writer:
@@ -34,19 +42,28 @@ class Writer:
         return "".join(self.r.choice(_ONSET) + self.r.choice(_NUCLEUS) + self.r.choice(_CODA) for _ in range(self.r.randint(least, most)))
 
     def family(self) -> str:
-        return self.word(1, 3).capitalize() if self.r.random() < 0.2 else self.word(2, 2).capitalize()
+        if self.r.random() < 0.3:
+            return self.r.choice(FAMILIES)
+        name = self.word(1, 3)
+        return name.capitalize() if len(name) > 3 else (name + self.word(1, 1)).capitalize()
+
+    def first(self) -> str:
+        """A given name: of the lists, or, a third of the time, one that no list holds."""
+        return self.r.choice(self.given) if self.r.random() < 0.5 else (self.word(1, 2) + self.pick("a", "o", "e", "in", "an", "is", "ek", "ra")).capitalize()
 
     def person(self) -> str:
         r = self.r.random()
-        g, f = self.r.choice(self.given), self.family()
-        i = self.r.choice("ABCDEFGHJKLMNPRSTVW")
+        g, f = self.first(), self.family()
+        i = self.r.choice("ABCDEFGHIJKLMNOPRSTUVWZ")
         if r < 0.55:
             return f"{g} {f}"
-        if r < 0.67:
+        if r < 0.66:
             return f"{g} {i}. {f}"
-        if r < 0.82:
+        if r < 0.7:
+            return f"{g} {f}-{self.family()}"
+        if r < 0.84:
             return f"{g[0]}. {f}"
-        return f"{f}, {g}" + (f" {i}." if self.r.random() < 0.15 else "")
+        return f"{f}, {g}" + (f" {i}." if self.r.random() < 0.2 else "") if self.r.random() < 0.85 else f"{f}, {g[0]}."
 
     def phone(self) -> str:
         a, x, n = self.pick("2", "3", "4", "5", "6", "7", "8", "9") + self.digits(2), self.pick("555", "555", "5" + self.digits(2), "4" + self.digits(2)), self.digits(4)
@@ -77,20 +94,34 @@ class Writer:
         return f"{g} dot {f} at {host} dot {top}"
 
     def identity(self) -> tuple[str, str, str]:
-        """Label, joint, value."""
-        d = self.digits
+        """Label, joint, value: formats in which authorities number people."""
+        d, cap = self.digits, lambda: self.r.choice("ABCDEFGHJKLMNPRSTVWXYZ")
+        number = self.pick("", " no", " no.", " number", " #", ":", " No:", " nr")
+        nummer, numero = self.pick("", "nummer", " Nr.", "-Nr.", ":"), self.pick("", " n°", " no", " :", " numéro")
+        passport = self.pick(cap() + d(7), cap() + cap() + d(7), cap() + d(8) + cap(), d(9), cap() + d(8))
+        licence = self.pick(f"{cap()}{d(4)}-{d(5)}", f"{cap()}{cap()}{d(9)}", f"{d(4)} {d(5)}", f"{cap()}{d(8)}", d(9), f"{cap()}{d(4)}-{d(5)}-{d(5)}", d(10))
+        ssn = self.pick(f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", d(9))
+        nino = self.pick(f"{cap()}{cap()}{d(6)}{self.pick('A', 'B', 'C', 'D')}", f"{cap()}{cap()} {d(2)} {d(2)} {d(2)} {self.pick('A', 'B', 'C', 'D')}")
+        tfn = self.pick(d(9), f"{d(3)} {d(3)} {d(3)}")
+        insee = f"{self.pick('1', '2')} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)}" + self.pick("", f" {d(2)}")
+        pension = self.pick(f"{d(2)} {d(6)} {cap()} {d(3)}", f"{d(8)}{cap()}{d(3)}")
+        card = self.pick(cap() + d(7), cap() + cap() + d(7), cap() + d(8) + cap(), d(9), cap() + d(8), f"{d(4)} {d(5)}")
         label, value = self.r.choice([
-            ("passport", self.pick("X", "C", "N") + d(7)), ("passport", "XA" + d(7)), ("passport no.", "C" + d(8) + "Z"), ("driver licence number", f"D{d(4)}-{d(5)}"), ("driver licence number", f"DL{d(9)}"), ("driver's license", f"{d(4)} {d(5)}"),
-            ("driver licence number", f"{d(4)} {d(5)}"), ("licence ending the form:", f"{d(4)} {d(5)}"), ("NI number", f"QQ{d(6)}A"), ("NI number", f"QQ {d(2)} {d(2)} {d(2)} C"), ("SSN", f"{d(3)}-{d(2)}-{d(4)}"), ("SSN", f"{d(3)} {d(2)} {d(4)}"), ("soc. sec. #", d(9)), ("social security no.", f"{d(3)} {d(2)} {d(4)}"),
-            ("TFN:", d(9)), ("TFN", f"{d(3)} {d(3)} {d(3)}"), ("tax file number", d(9)), ("Steuer-ID", d(11)), ("Sozialversicherungsnummer", f"{d(2)} {d(6)} {self.pick('A', 'K', 'R', 'T')} {d(3)}"), ("Führerschein Nr.", f"DL{d(9)}"), ("Führerschein Nr.", f"{d(4)} {d(5)}"), ("Ausweisnummer", f"C{d(8)}Z"),
-            ("Reisepass", f"C{d(8)}Z"), ("showed ID", f"{self.pick('X', 'XA')}{d(7)}"), ("showed ID", f"C{d(8)}Z"), ("pièce d'identité", f"X{d(7)}"), ("passeport n°", f"C{d(8)}Z"), ("permis de conduire", f"D{d(4)}-{d(5)}"), ("permis de conduire", f"DL{d(9)}"), ("numéro de sécurité sociale", f"{self.pick('1', '2')} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)}"),
-            ("Personalausweis", f"L{d(8)}X"), ("medicare number", f"{d(4)} {d(5)} {d(1)}"), ("ID card", f"{self.pick('X', 'N')}{d(7)}"),
+            (self.pick("passport", "Passport", "travel document") + number, passport), (self.pick("driver's licence", "driver licence", "driving licence", "driver's license", "licence") + number, licence),
+            (self.pick("SSN", "social security", "Social Security", "soc sec") + number, ssn), (self.pick("NI", "NINO", "national insurance", "National Insurance") + number, nino), (self.pick("TFN", "tax file", "Tax File") + number, tfn),
+            (self.pick("ID", "ID card", "identity card", "identity document", "national ID", "photo ID", "resident permit") + number, card), ("medicare" + number, f"{d(4)} {d(5)} {d(1)}"),
+            (self.pick("Reisepass", "Pass") + nummer, passport), (self.pick("Führerschein", "Fahrerlaubnis") + nummer, licence), (self.pick("Ausweis", "Personalausweis", "Perso") + nummer, card),
+            (self.pick("Steuer-ID", "Steueridentifikationsnummer", "steuerliche ID"), self.pick(d(11), f"{d(2)} {d(3)} {d(3)} {d(3)}")), (self.pick("Sozialversicherungsnummer", "Rentenversicherungsnummer", "SV-Nummer"), pension),
+            (self.pick("passeport", "Passeport") + numero, passport), (self.pick("permis", "permis de conduire", "Permis de conduire") + numero, licence), (self.pick("carte d'identité", "pièce d'identité", "CNI", "titre de séjour") + numero, card),
+            (self.pick("sécurité sociale", "numéro de sécurité sociale", "numéro INSEE", "NIR"), insee),
         ])
-        return label, " ", value
+        if self.r.random() < 0.2:
+            label = label.rstrip(":") + self.pick(" given", " on file", " on the form", " as stated below", " of the holder", " shown at the desk", " vom Amt", " laut Kopie", " du titulaire", " sur la fiche") + self.pick("", ":")
+        return label, self.pick(" ", " ", " ", ": ", " (", " - ") if not label.endswith(":") else " ", value
 
     def address(self) -> tuple[str, str]:
         """The value up to its town or postcode; and what it starts with is part of it."""
-        w = self.word(2, 2).capitalize()
+        w = self.pick(self.word(1, 3).capitalize(), self.word(2, 2).capitalize(), self.r.choice(FAMILIES), self.pick("Church", "Mill", "Station", "Park", "High", "Oak", "Lake", "Queen", "Victoria", "Hill"))
         town = self.word(1, 3).capitalize() + self.pick("", "", "ville", "ton", "field", " Falls", " Creek", " Heads", "-on-Sea", "ford", "bury")
         n = str(self.r.randint(1, 9999 if self.r.random() < 0.3 else 900)) + (self.pick("A", "B", "C") if self.r.random() < 0.15 else "")
         r = self.r.random()
@@ -118,37 +149,134 @@ class Writer:
         return f"{self.word(2, 3).capitalize()}{self.pick('', '', ' & Sons', ' Bros')} {s} {k}{self.pick('', ' GmbH', ' Ltd', ' Inc.', ' SARL', ' Pty Ltd')}"
 
 
-# {p} person, {t} telephone, {e} e-mail, {i} identity number with its label, {a} address; {d5} digits, {f} firm, {g} given name, {w} word
-CONTEXTS = """
-Please ring {p} on {t} before delivery.|Please call {p} on {t}.|Spoke with {p} about the short shipment, call back {t}.|spoke w/ {p}, call back {t}|fao {p} / {t}|For {p}, mobile {t}.|{p} will sign for the goods, mobile {t}.
-Contact: {p}, {e}.|Contact: {p} ({t}, {e})|Site manager {p} ({t}, {e}) has the key.|Send a copy to {e} too.|Copy wanted: {e}|cc {e}; {e}|questions to {e} please|queries {d1} {e} pls|Customer says phone {t} or write {e}|write to {e}.|or write\n{e}
-Text {t} on arrival.|Nobody answers {t}, tried {t} instead.|No answer on {t}, tried {t}.|After hours: {t}.|Tel {t}|Phone: {t}|T: {t}|{t}|Redirect to {a} if nobody answers {t}|Fax {t}
-Signed: {p}|Signed by {p}.|Leave with {p} at {a}.|Keys are with {p} next door, {a}|Left with neighbour {p}, {a}.|Delivered to neighbour {p}, {a}.|{p} and {p} both refused it.|Requested by {p}.|Refund goes to {p}.|As agreed with {p} on {d1} March.|{p} signed on Friday.|{p} will sign for it.|{p} will sign for the pallet, mobile {t}.|{p} and {p} both refused the parcel.|{g} Street depot closed|{g} Road depot closed this week.|{p} hat unterschrieben.|{p} hat den Empfang quittiert.|{p} a signé le bon.
-{p} will sign for it.|{p} and {p} both refused it.|{p} hat den Empfang bestätigt.|{p} hat quittiert.|{p} has the key.|{p} a confirmé.|{p} called back.|Both {p} and {p} were away.|{p} will be there, mobile {t}.|{p} knows about it.
-Driver checked identity of {p} ({i}).|Collected by {p}, {i}.|Collected by {p}, {i}|Approved by {p} after checking {i}.|Card filled in by {p}, living at {a}, {i}.|{i}, copy kept on file.|{i} kept on file|{p} showed his papers: {i}.|Credit approved by {p} after checking {i}.
-The buyer moved from {a} to {a}.|New address: {a}|Old delivery point was {a}; do not use.|Deliver to {a} please.|{a}|Ship to:\n{p}\n{a}|Bill to:\n{f}\n{a}|Sold to:\n{p}|Bill To:\n{p}\n{a}|{f}\n{a}\nTel {t}\n{e}|{f}\n{a}\nE: {e}|{f}\n{t}\nEmail: {e}\nEIN {d2}-{d7}|Attn {p}
-Bitte {p} unter {t} anrufen.|Ansprechpartner ist {p}, Tel. {t}.|Rückruf erbeten: {t}|Kopie an {e} und {e}.|Rückfragen an {e}.|{p} hat den Empfang bestätigt.|{p} hat den Empfang quittiert.|Abholung durch {p}, {i}.|Vorgelegt wurde {i}.|Neue Anschrift: {a}|Lieferung an {a} abgeben.|Lieferung an {a}|Handy {t}
-Merci d'appeler {p} au {t}.|Contact sur place : {p} ({t}).|Rappeler le {t} avant midi.|Copie à {e} et à {e}.|Envoyer la copie à {e}.|Retiré par {p}, {i}.|Contrôle fait : {i}.|Livrer à {a}, demander {p}.|Ancienne adresse : {a}|Bon signé par {p}.|Signé par {p}
-Quote PO {d10} on all papers.|Order {d10} confirmed.|Batch {d10} released.|Batch {d10}|Part {d3}-{d2}-{d4} replaced by {d3}-{d2}-{d4}.|Part {d3}-{d2}-{d4} superseded by {d3}-{d2}-{d4}.|Job {d3}-{d3}-{d4}-B, lot {d3} {d3} {d4}.|Lot {d3} {d3} {d4}|Serial X{d4}-{d7} replaced under warranty.|Serial {d4}-{d7}|Track as 1Z{d10}.|Account {d3}-{d6} on stop.|Account {d3}-{d6}
-EIN {d2}-{d7} on file.|EIN {d2}-{d7}|Supplier ABN {d2} {d3} {d3} {d3}.|ABN {d2} {d3} {d3} {d3}|VAT DE{d9}|Ust-ID DE{d9}|SIRET {d3} {d3} {d3} {d5}|Meet spec ISO {d4}-{d1}:20{d2}.|Price valid to 31.12.20{d2}|{d2} @ 4.{d2} less trade discount.|Pallet weight {d3} kg, {d2} cartons.|Backorder of {d2} units follows in week {d2}.|Price list of 0{d1}/0{d1}/2024 applies.|Invoice No: INV-20{d2}-{d4}|Date: 0{d1}/1{d1}/20{d2}|Receipt No: R-2022-{d4}|PURCHASE ORDER No: PO-2023-{d4}
-Bestellung {d10} angeben.|Artikel {d3}-{d4} entfällt.|Ware an Rampe {d2} abstellen.|Teillieferung, Rest in KW {d2}.|Référence {d3}-{d4} remplacée.|Déposer au quai {d2}.|Commande {d10} à citer.|Rechnung von {f}.|Facture de {f}.|Goods from {f}.|Goods from {f}.|{f} | General Terms of Supply|See www.{w}.example/returns for the form.|Gate closes 16:30.|Net 30 days from statement.
-{g} drill set not in stock, sent {g} brand instead.|{g} drill not available|{g} Street depot closed this week.|{g} Road is closed.|The {g} model is sold out.|Forklift needed on site.|Leave goods at the rear dock.|FRAGILE, KEEP UPRIGHT.|A surcharge of {d1}.5 percent applies before the scheduled commissioning.|In clause {d1}.{d1} it is provided that the carrier shall inspect the delivered goods.
-Subtotal: ${d2},{d3}.{d2}\nTax (8%): ${d3}.{d2}\nTotal: ${d2},{d3}.{d2}|Description  Quantity  Price  Amount\nCompact Fuse holder  {d2}  {d2}.{d2}  1,{d3}.{d2}\nSpare Mulch bag  {d1}  {d3}.{d2}  {d3}.{d2}|Heavy duty Wiper blade  {d2}  {d2}.{d2}  {d3}.{d2}|Page {d1}|page {d1}/{d1}|DOC-{d4} rev {d1}|Est. 19{d2}|Terms: net 14 days|{d1}. The packaging materials|Lot {d3}-{d3}-{d4}|Ref {d3} {d3} {d4}|order {d3}-{d3}-{d4}
+# {p} person, {t} telephone, {e} e-mail, {i} identity number with its label, {a} address; {d5} digits, {f} firm, {g} given name, {w} word; [a/b/] one of a, b and nothing
+CONTEXTS = r"""
+[Kindly/Please/Could you/] [ring/phone/contact/dial/call/reach] {p} [at/on/under/:/] {t} [today/tomorrow/in the morning/before noon/]
+[The/Our/Your] [manager/driver/foreman/caretaker/buyer/clerk/tenant/owner/nurse] [is/was/:/] {p}[, phone/, tel./, mobile/ on/] {t}
+[Contact/Contact person/Attention/Attn/Attn./FAO/c/o/Recipient/Caller/Name/Customer/Buyer/Patient/Witness][:/] {p}
+{p} [called/rang/phoned/wrote/asked/complained/answered/agreed/confirmed/paid/refused/waited/signed/came/left] [about/because of/for/before/after/on/with/] [the pallets/the late van/the broken seal/the wrong colour/Tuesday/us/the bill/noon]
+[{w}/The {w}/Our {w}/La {w}/Le {w}/Der {w}/Die {w}/My {w}/{w} {w}/][, /: / ]{p}[,/] {w} [{w}/the/le/das/up/it/zum/une/on] {w}
+[{w} {w}/{w} the {w}/{w} le {w}/{w} die {w}] [to/from/by/with/for/let/of/von/par/avec/{w}] {p}[ {w}/, {w} {w}/ {w} the {w}/]
+[La/Le/Der/Die/Unser/Our/The/Notre/My/Ein] {w}, {p}, {w} [{w}/the {w}/le {w}/das {w}]
+{p} {w} [{w}/the {w}/off {w}/out/in {w}], {w} {w} [{w}/it/them]
+[Talk to/Ask/Tell/Thank/Meet/Remind/See/Pay/Inform/Notify] {p} [about/for/at/before/when] [it/the van/the crates/Monday/arrival/the bill]
+{p} and {p} [were/are/will be] [present/away/there/the witnesses/on site/informed/both absent]
+[Handed/Given/Passed/Sold/Sent/Issued/Released/Shipped/Lent] to {p}[, / (/ with / - ]{i}
+[Received/Picked up/Inspected/Ordered/Paid/Checked/Witnessed/Authorised/Typed/Prepared/Countersigned] by {p}[./,/ on {d2}.{d2}.20{d2}/ at the counter]
+[Mr/Mrs/Ms/Dr/Miss/Prof.] {p} [would like/wants/needs/expects/has/keeps/holds/owns] [a refund/two more boxes/the spare key/an answer/a new copy/the originals]
+[Regards/Best wishes/Yours faithfully/Sincerely/Thanks/Cheers],\n{p}[\n{t}/\n{e}/\n{a}/]
+[He/She/The customer/The visitor/The applicant] [gave/presented/produced/handed over/used/quoted] [a/the/as proof] {i}[./ and left/ at the desk/]
+[Identity/ID/Person] [verified/checked/established/proved] [by/with/:] {i}[./]
+{i}[, valid until 20{d2}/, born 19{d2}/, seen and copied/, scanned/ noted/]
+{p}, {i}[, {t}/, lives at {a}/]
+[Mail/E-mail/Email/Write/Reply/Forward it/Send the scan/Answer/Send PDF] [to/:/at] {e}[./ or call {t}/ by Friday/ and to {e}/]
+[Our/Her/His/Their/My/Your new] [e-mail/mail address/email/mailbox] [is/:] {e}
+{e} [or/and//] {t}
+[mail/e-mail/E/Mail]: {e}\n[phone/tel/T/Tel./mob]: {t}
+[Number/Mobile/Cell/Office/Switchboard/Hotline/Home/Emergency/Desk/Direct line][:/ is/] {t}
+[call/ring/text/sms/whatsapp/dial/try/use] {t} [first/if late/when there/instead/at any time/]
+[call/ring/phone/text] [back/again/later/us/him/her/them/me] [:/on/at/under/] {t}
+[{p} asked/Question/Dispute/Complaint/] [about/regarding/over/on] [the/an/your] [order/shipment/invoice/part/batch/account/parcel][,/;/:] [call/ring/phone/text] [back/again/them/] [on/at/] {t}
+[No reply/Nobody/Voicemail/Line dead/Engaged tone/Wrong number] [on/at/:] {t}[, then {t}/, also {t}/]
+[He/She/The shop/The desk] [can be reached/picks up/is available/answers] [on/at/under] {t}[, {t}/ or {t}/]
+[My/Our/The/Their/Her] [address/home/office/new place/flat/site/branch/yard] [is/is now/:/was] {a}
+[Send/Bring/Return/Take/Ship/Drop/Forward] [the goods/it/everything/the crates/two boxes/them] to {a}[./, please/ by Monday/]
+[We/They/The family/The shop/The tenant] [moved/relocated/changed] [to/from/out of] {a}[ to {a}/]
+{p} [of/lives at/resides at/from/,] {a}
+{p}\n{a}[\n{t}/\n{e}/]
+[Delivery/Billing/Home/Postal/Return/Site] address[:/] [\n/]{a}
+[To/Recipient/Ship to/Bill to/Sold to/Deliver to][:/]\n[{p}\n/{f}\n/]{a}
+{f}\n{a}\n[Tel/Phone/T/]{t}\n[E/Email/Mail/]: {e}
+{f}\n{t}\n[Tax/EIN/VAT/ABN] {d2}-{d7}
+[The yard/The parcel/A van/The skip] [stands/waits/is] [at/in front of/behind/near] {a}
+[Bitte/] {p} [anrufen/zurückrufen/informieren/fragen/ansprechen][: {t}/ unter {t}/ (Tel. {t})/.]
+[Herr/Frau/Kunde/Fahrer/Kollege/Kollegin/Hausmeister] {p} [hat/wird/möchte/kann/war/ist] [bezahlt/abgesagt/Bescheid wissen/die Rechnung prüfen/verreist/zuständig]
+[Empfänger/Besteller/Ansprechpartner/Kontakt/Zeuge/Übergeben an/Angenommen von/Gezeichnet/z. Hd.][:/] {p}
+[Mobil/Telefon/Rufnummer/Durchwahl/Handy/Fax/Büro][:/] {t}
+[Erreichbar unter/Melden unter/Rückfragen:/Bei Fragen] {t}[ oder {e}/]
+[Mail an/E-Mail:/Bitte an/Schreiben Sie an/Scan an] {e}[ senden/ schicken/ und {e}/]
+[Wohnhaft/Umgezogen/Adresse:/Lieferadresse:/Rechnungsadresse:/Zustellung:/Wohnt in] {a}
+[Der/Die] [Fahrer/Kundin/Käufer] [zeigte/nannte/hatte dabei:] {i}
+[Nachweis/Geprüft/Kopie von/Notiert]: {i}
+{p}, {i}
+[Veuillez/Merci de/Il faut] [appeler/joindre/prévenir/contacter/avertir] {p}[ au {t}/ (tél. {t})/ : {t}/.]
+[Monsieur/Madame/M./Mme/Le client/La cliente/Le chauffeur] {p} [a/est/sera/veut/doit/souhaite] [payé/absent/prévenu/un avoir/être rappelé/venir lundi]
+[Demander/Demandez/Appeler/Appelez/Prévenir/Voir/Prévenez] {p} [à l'accueil/au dépôt/à l'arrivée/, {t}/ au {t}/]
+[Destinataire/Contact/Témoin/Reçu par/Remis à/Vérifié par/À l'attention de/Interlocuteur][ :/] {p}
+[Portable/Téléphone/Numéro/Standard/Fax/Bureau][ :/] {t}
+[Joignable au/Composer le/Numéro direct :/Téléphoner au] {t}
+[Écrire à/Courriel :/Adresser à/Mail :/Répondre à] {e}[ ou {t}/]
+[Habite/Déménagé au/Adresse :/Expédier au/Domicile :/Nouveau site :] {a}
+[Présenté/Vu/Noté/Justificatif] : {i}
+{p}, {i}
+[Invoice/Order/Purchase order/PO/Docket/Ticket/Claim/Delivery note/Booking][ no/ #/:/ number] {d8}[ is paid/ closed/ of {d2}.{d2}.20{d2}/]
+[Item/Part/SKU/Article/Model/Type][ no./:/] {d3}-{d2}-{d4}[ out of stock/ discontinued/ replaced by {d3}-{d2}-{d4}/]
+[Consignment/Parcel/Waybill/Shipment/Container][:/ no/] {d4} {d4} {d4}[ left depot/]
+[Serial/S/N/Machine/Engine][ no/:/] [{d4}-{d7}/X{d4}-{d7}/{d9}/{d3}-{d3}-{d4}]
+[Lot/Batch/Charge/Job/Run/Roll][:/ no/] [{d3} {d3} {d4}/{d10}/{d3}-{d3}-{d4}/{d3}-{d3}-{d4}-B]
+[Account/Acct/Bank account/Customer no/Client][:/] [{d3}-{d6}/{d8}/{d10}]
+[IBAN/BSB/Sort code][:/] [DE{d2} {d4} {d4} {d4} {d4} {d2}/{d3}-{d3}/{d2}-{d2}-{d2}]
+[ABN/ACN/EIN/Company no/VAT no/GST][:/] [{d2} {d3} {d3} {d3}/{d2}-{d7}/{d9}/GB{d9}] [registered/on the letterhead/]
+[USt-IdNr./Handelsregister/HRB/Kundennummer/Bestellnummer/Auftrag/Lieferschein/Artikelnummer][:/] [DE{d9}/{d6}/{d10}/{d3}-{d4}]
+[SIRET/SIREN/TVA/Commande n°/Réf. article/Bon n°/Facture n°][ :/] [{d3} {d3} {d3} {d5}/{d3} {d3} {d3}/FR{d11}/{d10}/{d3}-{d4}]
+[Tracking/Track/Trace][:/] 1Z{d10}
+[Norm/Standard/Spec/As per] [ISO/DIN/EN/ASTM] {d4}-{d1}:20{d2}
+{d2} [boxes/kg/pieces/units/rolls/pallets/percent/metres/drums] [of/at/for] [gravel/cable/4.{d2}/{d3}.{d2}/sand]
+[On/By/Until/Since/Before] {d2}/{d2}/20{d2}[ at 1{d1}:{d2}/]
+[Bay/Gate/Ramp/Dock/Door/Shelf/Hall/Row] {d2}[ is shut/ only/, left side/]
+[Total/Net/Sum/VAT/Balance/Discount/Freight/Deposit]: [$/€/£/]{d2},{d3}.{d2}
+[Cable drum/Steel pipe/Rubber mat/Work gloves/Paint tin/Hex bolt M8]  {d2}  {d2}.{d2}  {d3}.{d2}[\nTimber board  {d1}  {d3}.{d2}  {d3}.{d2}/]
+[Steel/Brass/Plastic/Large/Small/Flat/Round/Double/Black/Coated/Folding/Light/Rubber/Outdoor/Digital] [Ladder/Hinge/Door handle/Bucket/Shovel/Cable tie/Gasket/Washer/Socket/Lamp shade/Bracket/Chisel/Gear Wheel/Tarpaulin/Battery]  {d2}  {d2}.{d2}  {d3}.{d2}[\n{W} [Ladder/Bolt/Hose clamp/Lid/Panel/Spring/Tray]  {d1}  {d3}.{d2}  {d1},{d3}.{d2}/\n{W} [Wrench/Pulley/Tape roll]\n{d2}\n{d2}.{d2}  {d3}.{d2}/]
+[Pos/Item/Article/Product/Text/Goods/Service] [Qty/Count/Pieces/Menge/Number/Units] [Rate/Unit Price/Each/Preis/Cost] [Sum/Total/Value/Betrag/Net]
+[The/One/No/Every/Another] {w} [and/or/with/for/like/in] a {w} [is/of the/that/which/must/may] {w}
+[The/Each/Every/Our/This] [crew/agent/clerk/foreman/office/mechanic/inspector/guard] [will/may/must/can/shall/did] [{w}/sort/mend/weigh/label/stack/seal] [the/all/any/each/both] [{w}/crates/seals/pipes]
+[New/Old/Next/Last/Alte/Neue/Nouvelle/Ancienne/Other/First/Best] [Address/Price/Owner/Anschrift/Adresse/Rechnung/Commande/Offer/{W}]: [{a}/{t}/{d3}/{e}]
+[Name/Text/Stück/Libellé/Désignation/Bezeichnung/{W}]  [Menge/Qté/{W}/Count]  [Rate/Prix/{W}/Each]  [Summe/{W}/Montant/Value]
+[in/with/without/of/as/by] [the/any/{w}] {w} of a {w}[, a {w}/ or a {w}/; the {w} {w}/. {W} {w}/]
+{f}\n[Since/Founded/Established/In business since/Gegr.] {d4}\n{t}[\n{e}/\n[E/Mail]: {e}/]
+[Sheet/Minutes/Report/Table/Record/Copy/List] [of/for/on] [Parts/Works/Tests/Goods/Wages/Hours/Damage]
+[Bought from/Made by/Supplier:/Carrier:/Invoice of/Agent:/Insured by] {f}[./]
+{f} [delivers/invoiced/is late/has stock/closed/sent a quote]
+[The/Our/One] {g} [pump/saw/lamp/range/kit/tool set/series/label/line/chair/mixer] [is sold out/broke/works/needs oil/arrived]
+[Try/Use/Order/Prefer] [the/a] {g} [instead/kit/brand/model]
+{g} [Street/Road/Avenue/Lane/Square/Park/Bridge/Hall/Hotel] [is blocked/is flooded/office/branch/reopens in May]
+[Meet at/Behind/Opposite/Near] the {w} [Hotel/Museum/Station/Centre/Stadium]
+[Weather/Traffic/Stock/Quality/Packing] [was/is/looks] [fine/poor/unchanged/as agreed]
+See www.{w}.[example/test/com]/[help/faq/news]
+[Clause/Section/Annex/Page/Rev/Version/Sheet] {d1}.{d1}[ applies/ of {d2}/ is void/]
+[Summer/Winter/Easter/Spring/North/South/Blue/Red] [Sale/Lane Closure/Depot/Warehouse/Market/Label/Line] [starts/ends/opens] [Monday/in June/soon]
+[General/Standard/Special] [Terms/Conditions/Notice/Rules] of [Sale/Trade/Delivery/Hire]
+[Wetter/Verkehr/Lager/Ware/Palette/Lieferung] [ist/war/bleibt] [gut/schlecht/voll/beschädigt/unvollständig]
+[Halle/Tor/Rampe/Regal] {d2} [ist gesperrt/nur links/bis 1{d1} Uhr]
+[Le stock/La palette/Le camion/Le colis/La livraison] [est/reste/semble] [plein/abîmée/en retard/complet/incomplète]
+[Porte/Quai/Hall/Rayon] {d2} [est fermé/côté gauche/avant 1{d1} h]
 """
 FILLER = (
-    "The supplier must inspect the delivered components before the scheduled commissioning.|Following the shipment, the carrier shall document the packaging materials under the agreement.|Where packaging has been compromised, our accounts department may withhold payment."
-    "|Der Lieferant prüft die gelieferten Bauteile vor der geplanten Inbetriebnahme.|Bei unvollständiger Lieferung ersetzt die Buchhaltung sämtliche Ersatzteile.|Le fournisseur contrôle les composants livrés sans supplément de facturation.|Après chaque inspection préventive, le transporteur signale les emballages."
-    "|The quarterly stocktake is complete.|Unless otherwise agreed in writing, the buyer shall return the goods.|Should the measurements disagree, the installation team will certify the brackets.|Street works; drill before you set the brand new street sign near the depot road."
+    "All parts were counted twice and nothing was missing.|The forklift needs a new battery before winter.|Goods remain our property until they are paid in full.|Each roll is wrapped in paper and stacked by size."
+    "|Die Ware bleibt bis zur Zahlung unser Eigentum.|Alle Teile wurden gezählt und nichts fehlte.|Les marchandises restent notre propriété jusqu'au paiement.|Chaque rouleau est emballé et rangé par taille."
+    "|Rain stopped the crew for two days, so the roof is late.|Prices rise in spring when timber is scarce.|The court found that the lessee had kept the premises in good order.|Every engine was tested under load and at idle."
 ).split("|")
 
 
+def fragments() -> list[str]:
+    """The fixed parts of all contexts, for comparing them with a corpus."""
+    return [f.strip() for line in CONTEXTS.strip().split("\n") for f in re.split(r"\{\w+\}|[\[\]/]|\\n", line) if f.strip()] + FILLER
+
+
+def _choose(line: str, r: random.Random) -> str:
+    """One wording of a context."""
+    while m := re.search(r"\[([^\[\]]*)\]", line):
+        line = line[: m.start()] + r.choice(m.group(1).split("/")) + line[m.end() :]
+    return re.sub(r"  +(?=\S)(?![\d{])", " ", line).strip()
+
+
 def snippet(w: Writer) -> tuple[str, list[tuple[int, int, str]]]:
     """One text and its spans."""
     r = w.r
-    lines = [x for x in CONTEXTS.replace("\\n", "\x00").strip().split("\n")]
-    picks = [r.choice(r.choice(lines).split("|")).replace("\x00", "\n") for _ in range(r.randint(1, 4))]
+    lines = CONTEXTS.strip().split("\n")
+    picks = [_choose(r.choice(lines).replace("\\n", "\x00"), r).replace("\x00", "\n") + r.choice(["", ".", ".", ";", "!"]) for _ in range(r.randint(1, 4))]
     if r.random() < 0.12:
-        picks[0] = r.choice(["Notes: ", "Note: ", "Remarks: ", "Notes : ", "Bemerkung: "]) + picks[0]
+        picks[0] = r.choice(["Memo: ", "Note: ", "Info: ", "Remark: ", "Hinweis: ", "Remarque : "]) + picks[0]
     if r.random() < 0.45:
         picks.insert(r.randint(0, len(picks)), r.choice(FILLER))
     style = r.random()
@@ -186,6 +314,8 @@ def snippet(w: Writer) -> tuple[str, list[tuple[int, int, str]]]:
                 put(w.firm())
             elif m.group(1) == "g":
                 put(w.r.choice(w.given))
+            elif m.group(1) == "W":
+                put(w.word(1, 2).capitalize())
             elif m.group(1) == "w":
                 put(w.word())
             else:
@@ -206,16 +336,22 @@ def snippet(w: Writer) -> tuple[str, list[tuple[int, int, str]]]:
     return text, spans
 
 
+def _common() -> set[str]:
+    """Words that count as usual in the grammar's text: half of those it uses, as in a corpus many common words are rare."""
+    words = {x.lower() for x in re.findall(r"[^\W\d_]{2,}", CONTEXTS + " ".join(FILLER))}
+    return {w for w in words if len(w) < 5 or zlib.crc32(w.encode()) % 2}
+
+
 @lru_cache(maxsize=2)
-def trained(texts: int = 10000, seed: int = 7) -> dict[str, Boosted]:
+def trained(texts: int = 9000, seed: int = 7) -> dict[str, Boosted]:
     """A classifier for each kind, trained on ``texts`` texts of the grammar."""
     w = Writer(seed)
-    usual = Words({x.lower() for x in re.findall(r"[^\W\d_]{2,}", CONTEXTS + " ".join(FILLER))})
+    usual = Words(_common())
     x: dict[str, list] = {k: [] for k in KINDS}
     y: dict[str, list] = {k: [] for k in KINDS}
     for _ in range(texts):
         text, spans = snippet(w)
-        for s, e, kind in candidates(text):
+        for s, e, kind in candidates(text, usual):
             hit = any(k == kind and a == s and min(e, b) - s >= 0.6 * (e - s) and (min(e, b) - s >= 0.4 * (b - a) or kind == 'address') for a, b, k in spans)
             x[kind].append(features(text, s, e, kind, usual))
             y[kind].append(int(hit))
@@ -227,7 +363,7 @@ def held_out(texts: int = 800, seed: int = 99) -> dict[str, tuple[float, float]]
     from quillstone.llm.pii import Finder
 
     w = Writer(seed)
-    finder = Finder(trained(), {x.lower() for x in re.findall(r"[^\W\d_]{2,}", CONTEXTS + " ".join(FILLER))})
+    finder = Finder(trained(), _common())
     rows = [snippet(w) for _ in range(texts)]
     got = finder.spans([t for t, _ in rows])
     out = {}
