@@ -1,11 +1,13 @@
 """Variant spellings of people's and organisations' names: which party ids are one entity.
 
 Names are read into roles (coined words, line of business, legal form; family name, given name, initials). The coined
-and family names - each distinct one once - are sharded into tries by line of business and by an intact piece, and
-every trie is traversed with a Levenshtein automaton for the names of its shard, which enumerates all neighbours within
-two edits. Token order is settled by trying both orders of a person's two names against the corpus' given names.
-Neighbour links are closed into components; given names, initials, short forms and acronyms are then resolved inside
-them by aggregation, never by listing all pairs of a group.
+and family names - each distinct one once - are sharded into tries by line of business or given name and by an intact
+piece, and every trie is traversed with a Levenshtein automaton for the names of its shard, which enumerates all
+neighbours within a distance that grows with the length. Names of several words are stored in every order of their
+words, so that reordered ones meet; whether the first or last word of a person's name is the given one is settled
+against the corpus' given names. What stands on no list of businesses or given names is compared by its letters as a whole.
+Neighbour links are closed into components: that is the method's result. Initials, short forms and acronyms, which no
+distance between letters can settle, are then placed by aggregation inside them.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -148,7 +151,7 @@ def read_name(raw: str | None) -> dict | None:
             core = next((t for t in tokens if 2 <= len(t) <= 4), "")
         if not (sector or kind) and 2 <= len(core) <= 5:
             return {"typ": "acronym", "core": core, "biz": "", "words": [], "comma": False}
-        return {"typ": "org", "core": core or " ".join(tokens), "biz": f"{sector or ''}/{kind or ''}", "words": [], "comma": False}
+        return {"typ": "org", "core": core or " ".join(tokens), "biz": f"{sector or ''}/{kind or ''}", "words": coined, "comma": False}
     words = [t for t, k in zip(re.findall(r"[a-z]+", text), map(vocabulary, re.findall(r"[a-z]+", text)), strict=True) if not (k and k[0] == "noise")]
     joined = "".join(words)
     long = [w for w in words if len(w) > 1]
@@ -167,8 +170,8 @@ READ = "pid long, typ string, biz string, core string, words array<string>, comm
 _PIECE_FROM, _WHOLE_TO = 14, 15
 #: rows a trie may hold before its shard is split
 SHARD_ROWS = 20_000
-#: a spelling is a slip of one that so many times as many parties use, at one edit and at two
-SLIP_OF = (20, 50)
+#: names of up to so many words are stored in every order; longer ones as written, sorted and with each word first
+ORDERED = 4
 #: a token is a corpus given name from this share of the person names on (as distinct partners); bounds the lexicon
 GIVEN_SHARE = 1 / 500
 
@@ -328,36 +331,58 @@ def _automaton(k: int) -> LevenshteinAutomaton:
     return _AUTOMATA[k]
 
 
-def _spellings(nodes: DataFrame) -> DataFrame:
-    """Roots of the spellings of ``scope, word, n``: ``scope, word, root``. ``n``: parties that use the spelling.
+def slips(a: str, b: str, d: str) -> F.Column:
+    """May one of two words ``d`` edits apart be a slip of the other? Two edits from nine letters on, one from six; in
+    shorter words, where most other words are as near, only letters swapped, doubled or undoubled."""
+    size = F.least(F.length(a), F.length(b))
+    swapped = (F.length(a) == F.length(b)) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
+    single = r"(.)\1"
+    doubled = F.regexp_replace(a, single, "$1") == F.regexp_replace(b, single, "$1")
+    return (F.col(d) == 1) & ((size >= 6) | swapped | doubled) | (F.col(d) == 2) & (size >= 9)
 
-    Spellings within two edits are one name unless both are established: used by two parties or more (two edits) or
-    three (one edit), and the rarer by more than the share of the other that a common slip has.
-    """
-    near = trie_join(nodes.select("scope", "word"))
-    counted = near.join(nodes.select("scope", F.col("word").alias("a"), F.col("n").alias("na")), ["scope", "a"]).join(nodes.select("scope", F.col("word").alias("b"), F.col("n").alias("nb")), ["scope", "b"])
-    few = F.least("na", "nb") < F.when(F.col("d") == 1, 3).otherwise(2)
-    slip = F.least("na", "nb") * F.when(F.col("d") == 1, SLIP_OF[0]).otherwise(SLIP_OF[1]) <= F.greatest("na", "nb")
-    kept = counted.filter(few | slip)
-    link = kept.select(F.concat_ws("|", "scope", "a").alias("a"), F.concat_ws("|", "scope", "b").alias("b"))
-    comp = components(link)
-    named = nodes.withColumn("node", F.concat_ws("|", "scope", "word"))
-    return named.join(comp, "node", "left").select("scope", "word", F.coalesce("root", "node").alias("root"))
 
+def orders(words: list[str]) -> list[str]:
+    """The joined word orders a name is stored under."""
+    if len(words) <= ORDERED:
+        return sorted({"".join(p) for p in permutations(words)})
+    return sorted({"".join(words), "".join(sorted(words)), *("".join([*words[i:], *words[:i]]) for i in range(len(words)))})
 
-def entities(suppliers: DataFrame, buyers: DataFrame) -> DataFrame:
-    """``pid, entity`` of every party whose name can be placed; parties with one entity have one name.
 
-    Null and blank names have no row; repeated rows count once; empty tables give an empty result; other columns are
-    not read. Very long names are read whole.
+def _stored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        rows = [(scope, word, owner) for scope, words, owner in zip(f["scope"], f["words"], f["owner"], strict=True) for word in orders(list(words))]
+        yield pd.DataFrame(rows, columns=["scope", "word", "owner"])
+
+
+def _spellings(nodes: DataFrame, reordered: DataFrame | None = None) -> DataFrame:
+    """Roots of the distinct spellings ``scope, word``: ``scope, word, root``.
+
+    Spellings are one name within a number of edits that grows with their length (see ``slips``), however often each is
+    used, so that an entity keeps its spellings as a table grows. ``reordered``: ``scope, words, owner`` of names whose
+    word order is open, ``owner`` being the ``scope|word`` of the node.
     """
+    own = nodes.select("scope", "word", F.concat_ws("|", "scope", "word").alias("owner"))
+    words = own if reordered is None else own.unionByName(reordered.mapInPandas(_stored, "scope string, word string, owner string")).distinct()
+    words = cut(words)
+    first = words.groupBy("scope", "word").agg(F.min("owner").alias("first"))
+    near = trie_join(first.select("scope", "word")).filter(slips("a", "b", "d"))
+    link = near.join(first.select("scope", F.col("word").alias("a"), F.col("first").alias("x")), ["scope", "a"]).join(first.select("scope", F.col("word").alias("b"), F.col("first").alias("y")), ["scope", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # one stored order of several names
+    link = link.unionByName(words.join(first, ["scope", "word"]).filter("owner <> first").select(F.col("owner").alias("a"), F.col("first").alias("b")))
+    comp = components(link)
+    named = own.withColumnRenamed("owner", "node")
+    return named.join(comp, "node", "left").select("scope", "word", F.coalesce("root", "node").alias("root"))
 
+
+def _linked(suppliers: DataFrame, buyers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All read names; organisations and people of full name with their entities; people known by an initial or ambiguous short form."""
     read = cut(spread(parties(suppliers, buyers).filter("trim(name) <> ''"), "pid").mapInPandas(_read, READ))
     lexicon = given_lexicon(read)
 
     # organisations
     orgs = read.filter("typ = 'org'")
-    org_nodes = orgs.groupBy(F.col("biz").alias("scope"), F.col("core").alias("word")).agg(F.countDistinct("pid").alias("n"))
+    org_nodes = orgs.select(F.col("biz").alias("scope"), F.col("core").alias("word")).distinct()
+    org_orders = orgs.filter("size(words) > 1").select(F.col("biz").alias("scope"), "words", F.concat_ws("|", "biz", "core").alias("owner")).distinct()
 
     # people: full given names (one reading) and vague ones
     def roles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -367,19 +392,38 @@ def entities(suppliers: DataFrame, buyers: DataFrame) -> DataFrame:
             for pid, words, comma, email, phone in zip(f["pid"], f["words"], f["comma"], f["email"], f["phone"], strict=True):
                 family, names, initial = given.roles(list(words), bool(comma), email)
                 if family:
-                    rows.append((pid, family, names, initial, phone, email))
-            yield pd.DataFrame(rows, columns=["pid", "family", "names", "initial", "phone", "email"])
+                    listed = any(given.near(w) for w in words if len(w) > 1)
+                    rows.append((pid, family, names, initial, phone, email, listed, [w for w in words if len(w) > 1]))
+            yield pd.DataFrame(rows, columns=["pid", "family", "names", "initial", "phone", "email", "listed", "words"])
+
+    people = cut(read.filter("typ = 'person'").select("pid", "words", "comma", "email", "phone").mapInPandas(roles, "pid long, family string, names array<string>, initial boolean, phone string, email string, listed boolean, words array<string>"))
+    full = people.filter("not initial and size(names) = 1").select("pid", "family", F.col("names")[0].alias("given"), "phone", "email", "listed", "words")
+    full_nodes = full.select(F.concat(F.lit("="), F.col("given")).alias("scope"), F.col("family").alias("word")).distinct()
+    # no given name of any list: a person or firm nobody has listed, compared as a whole
+    full_orders = full.filter("not listed and size(words) > 1").select(F.lit("~").alias("scope"), "words", F.concat(F.lit("="), "given", F.lit("|"), "family").alias("owner")).distinct()
+
+    roots = cut(_spellings(org_nodes.unionByName(full_nodes), org_orders.unionByName(full_orders)))
+    org_of = cut(orgs.join(roots, (orgs["biz"] == roots["scope"]) & (orgs["core"] == roots["word"])).select("pid", F.col("root").alias("entity"), "core", "biz", "phone", "email", "tax"))
+    full_of = cut(full.join(roots.withColumn("given", F.expr("substring(scope, 2)")).filter("scope like '=%'").withColumnRenamed("word", "family"), ["given", "family"]).select("pid", "given", "family", F.col("root").alias("entity"), "phone", "email"))
+    return read, org_of, full_of, people.filter("initial or size(names) <> 1").filter("size(names) > 0")
 
-    people = cut(read.filter("typ = 'person'").select("pid", "words", "comma", "email", "phone").mapInPandas(roles, "pid long, family string, names array<string>, initial boolean, phone string, email string"))
-    full = people.filter("not initial and size(names) = 1").select("pid", "family", F.col("names")[0].alias("given"), "phone", "email")
-    full_nodes = full.groupBy(F.concat(F.lit("="), F.col("given")).alias("scope"), F.col("family").alias("word")).agg(F.countDistinct("pid").alias("n"))
 
-    roots = cut(_spellings(org_nodes.unionByName(full_nodes)))
-    org_of = orgs.join(roots, (orgs["biz"] == roots["scope"]) & (orgs["core"] == roots["word"])).select("pid", F.col("root").alias("entity"), "core", "biz", "phone", "email", "tax")
-    org_of = cut(org_of)
-    full_of = cut(full.join(roots.withColumn("given", F.expr("substring(scope, 2)")).filter("scope like '=%'").withColumnRenamed("word", "family"), ["given", "family"]).select("pid", "given", "family", F.col("root").alias("entity"), "phone", "email"))
+def linked(suppliers: DataFrame, buyers: DataFrame) -> DataFrame:
+    """``pid, entity`` by the trie join and the word orders alone, without initials, ambiguous short forms and acronyms.
+
+    Nulls, blanks, repeated rows and empty tables as in ``entities``.
+    """
+    _, org_of, full_of, _ = _linked(suppliers, buyers)
+    return org_of.select("pid", "entity").unionByName(full_of.select("pid", "entity")).distinct()
+
 
-    vague = people.filter("initial or size(names) <> 1").filter("size(names) > 0")
+def entities(suppliers: DataFrame, buyers: DataFrame) -> DataFrame:
+    """``pid, entity`` of every party whose name can be placed; parties with one entity have one name.
+
+    Null and blank names have no row; repeated rows count once; empty tables give an empty result; other columns are
+    not read. Very long names are read whole.
+    """
+    read, org_of, full_of, vague = _linked(suppliers, buyers)
     vague_of = _vague(vague, full_of)
     short_of = _acronyms(read.filter("typ = 'acronym'"), org_of)
     return org_of.select("pid", "entity").unionByName(full_of.select("pid", "entity")).unionByName(vague_of).unionByName(short_of).distinct()
@@ -391,6 +435,7 @@ def _vague(vague: DataFrame, full: DataFrame) -> DataFrame:
     Where several fit, a shared e-mail or telephone decides; whoever isn't placed so is one person with those of the same
     initial, or of a short form of the same names, and family name.
     """
+    vague = vague.drop("listed", "words")
     asked = vague.select("pid", "family", F.explode("names").alias("name"), "initial", "phone", "email").withColumn("scope", F.substring("name", 1, 1)).withColumn("want", F.when(F.col("initial"), F.lit("")).otherwise(F.col("name")))
     known = full.select(F.substring("given", 1, 1).alias("scope"), F.col("family"), "given", "entity").distinct()
     words = asked.select("scope", F.col("family").alias("word")).unionByName(known.select("scope", F.col("family").alias("word"))).distinct()
@@ -420,7 +465,7 @@ def _vague(vague: DataFrame, full: DataFrame) -> DataFrame:
     # nobody fits, or several do: equal initials or short forms among themselves
     said = F.when(F.col("initial"), F.substring(F.col("names")[0], 1, 1)).otherwise(F.concat_ws("/", "names"))
     alone = cut(vague.join(placed.select("pid").distinct(), "pid", "left_anti").select("pid", F.concat(F.lit("-"), said).alias("scope"), F.col("family").alias("word")).distinct())
-    own = _spellings(alone.groupBy("scope", "word").agg(F.countDistinct("pid").alias("n")))
+    own = _spellings(alone.select("scope", "word").distinct())
     return placed.unionByName(alone.join(own, ["scope", "word"]).select("pid", F.col("root").alias("entity")))
 
 

@@ -14,6 +14,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.found(table(spark, sf_dir, "ocr_results"), table(spark, sf_dir, "ai_requests"))
 
 
+def p2_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities by the trie join and the word orders alone."""
+    return names.linked(table(spark, sf_dir, "suppliers"), table(spark, sf_dir, "buyers"))
+
+
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each party: its entity."""
+    return names.entities(table(spark, sf_dir, "suppliers"), table(spark, sf_dir, "buyers"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.found(table(spark, sf_dir, "suppliers"), table(spark, sf_dir, "buyers"))
 
@@ -60,7 +70,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p2_found, p4_found, p5_found, p6_method, p6_containers, p6_unused, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
+    named = (p1_found, p2_method, p2_found, p2_entities, p4_found, p5_found, p6_method, p6_containers, p6_unused, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
     return {f.__name__: f for f in named}
 
 
