@@ -9,6 +9,7 @@ document. The same analysis yields the repaired text and the list of finds.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.fuzzy import osa
 from quillstone.llm.pii import _EMAIL
 from quillstone.llm.places import deletions
-from quillstone.runtime import spread
+from quillstone.runtime import cut, spread
 
 MARKS = "-‐­¬"
 # fixed values: what a scanner reads for what stands on the page
@@ -71,6 +72,8 @@ _SPLIT = re.compile(r"\S(?:\s*\|\s*|\s{3,})(?=\S)")
 _MONEY = re.compile(r"[0-9OolISB][0-9,OolISB]*[.,][0-9OolISB]{2}\s*$")
 _WORD = re.compile(r"[^\W\d_][^\W_]*|[0-9]+[^\W\d_]{2,}[^\W_]*")
 _TOKEN = re.compile(r"\S+")
+# a digit and, without a blank between, a sign that may be read for one
+_MIXED = re.compile(r"[0-9][^\s]*[OolIS|]|[OolIS|][^\s]*[0-9]")
 
 
 class Lexicon:
@@ -88,6 +91,7 @@ class Lexicon:
                     self.index.setdefault(v, []).append(w)
         self.memo: dict[str, list[tuple[float, int, str]]] = {}
         self.odd_memo: dict[str, str] = {}
+        self.settled_memo: dict[str, bool] = {}
         # every use of a word has one run that starts it
         uses = sum(n for g, n in self.grams.items() if g[0] == "^")
         self.usual, self.floor = ODD_USUAL * uses, max(1.0, ODD_FLOOR * uses)
@@ -110,6 +114,21 @@ class Lexicon:
             self.memo[token] = hit
         return hit
 
+    def settled(self, low: str) -> bool:
+        """Does a lower-case word stand as it is, whatever its neighbours? True of nearly all words, and remembered."""
+        hit = self.settled_memo.get(low)
+        if hit is None:
+            hit = self.settled_memo[low] = not (_suspect(low) and self._mendable(low))
+        return hit
+
+    def _mendable(self, low: str) -> bool:
+        own = self.words.get(low, 0)
+        least = 1 if not low.isalpha() and any(ch.isdigit() for ch in low) else 20 if len(low) >= 5 else 60
+        # neighbours can make a candidate five times as likely at most
+        if any(-n >= self.least and -n >= least / 5 * max(own, 1) for _, n, _ in self.candidates(low)):
+            return True
+        return own < self.least and len(low) >= 7 and self.odd(low) is not None
+
     def repair(self, token: str, before: str = "", after: str = "") -> str | None:
         """The word a token is a misreading of, or ``None``."""
         low = token.lower()
@@ -170,6 +189,12 @@ class Lexicon:
 ODD_USUAL, ODD_FLOOR, ODD_RATIO = 5e-5, 1e-6, 50
 
 
+def _suspect(token: str) -> bool:
+    if not token.isalpha() and any(ch.isdigit() for ch in token):
+        return len(token) >= 3 and sum(ch.isalpha() for ch in token) >= 2
+    return len(token) >= 3
+
+
 def _runs(token: str) -> list[str]:
     """The runs of four letters of a word, its ends marked."""
     t = f"^{token}$"
@@ -218,7 +243,7 @@ def furniture(lines: list[str]) -> set[int]:
     bare = [x.replace("\x0c", "").strip("\r") for x in lines]
     for n, line in enumerate(bare):
         s = line.strip()
-        if not s or len(s) > 140:
+        if not s:
             continue
         if _PAGE_LABEL.match(s) or (not bill and _PAGE_ONLY.match(s)) or _TURN.match(s):
             out.add(n)
@@ -231,18 +256,24 @@ def furniture(lines: list[str]) -> set[int]:
     if not bill:
         # lines in capitals as in a title that recur through the document, slips of the scanner allowed
         groups: list[tuple[str, list[int]]] = []
+        exact: dict[str, list[int]] = {}
         first = next((n for n, x in enumerate(bare) if x.strip()), 0)
         for n, line in enumerate(bare):
             s = line.strip()
             k = _key(s)
-            if n in out or len(k) < 6 or len(s) > 120 or not _titled(s) or s.endswith((";", ",", ":", *MARKS)) or (s.endswith(".") and not re.search(r"\b(?:Corp|Inc|Ltd|Co)\.$", s)) or re.match(r"^\d{1,2}\.\s", s) or n <= first + 2:
+            if n in out or len(k) < 6 or not _titled(s) or s.endswith((";", ",", ":", *MARKS)) or (s.endswith(".") and not re.search(r"\b(?:Corp|Inc|Ltd|Co)\.$", s)) or re.match(r"^\d{1,2}\.\s", s) or n <= first + 2:
+                continue
+            if k in exact:
+                exact[k].append(n)
                 continue
             for key, own in groups:
-                if abs(len(key) - len(k)) <= 3 and osa(key, k, max(1, len(k) // 8)) <= max(1, len(k) // 8):
+                if abs(len(key) - len(k)) <= len(k) // 8 and osa(key, k, max(1, len(k) // 8)) <= max(1, len(k) // 8):
                     own.append(n)
                     break
             else:
-                groups.append((k, [n]))
+                own = [n]
+                groups.append((k, own))
+            exact[k] = own
         for _, own in groups:
             if len(own) >= 2 and any(_interrupts(bare, n) for n in own):
                 out.update(own)
@@ -264,7 +295,9 @@ def _interrupts(lines: list[str], n: int) -> bool:
 class Page:
     """The analysis of one text."""
 
-    def __init__(self, text: str, lex: Lexicon):
+    def __init__(self, text: str, lex: Lexicon, index_only: bool = False):
+        #: repairs by the index alone: no letter runs of names, no digits
+        self.index_only = index_only
         self.lines = text.split("\n")
         self.lex = lex
         self.out = furniture(self.lines)
@@ -324,7 +357,7 @@ class Page:
         if "@" in text or re.search(r"[\[(]\s?at\s?[\])]|\sat\s\S+\s+dot\s", text):
             for p in _EMAIL:
                 for m in p.finditer(text):
-                    for n in range(len(self.lines)):
+                    for n in range(bisect.bisect_right(starts, m.start()) - 1, bisect.bisect_left(starts, m.end())):
                         s, e = max(m.start(), starts[n]), min(m.end(), starts[n + 1] - 1)
                         if s < e:
                             masked.setdefault(n, []).append((s - starts[n], e - starts[n]))
@@ -332,8 +365,12 @@ class Page:
             line = self.lines[n]
             words = [m for m in _WORD.finditer(line)]
             low = [m.group().lower() for m in words]
+            linked = "www." in line or "http" in line or "/" in line or "@" in line
+            broken = n in self.hyphen
             for k, m in enumerate(words):
-                if any(s <= m.start() < e for s, e in masked.get(n, ())) or re.search(r"(?:www\.|https?:|/)\S*$", line[: m.start()]) or re.match(r"[@/]", line[m.end() :]):
+                if not (broken and k == len(words) - 1) and lex.settled(low[k]):
+                    continue
+                if any(s <= m.start() < e for s, e in masked.get(n, ())) or linked and (re.search(r"(?:www\.|https?:|/)\S*$", line[: m.start()]) or re.match(r"[@/]", line[m.end() :])):
                     continue
                 token, start, end, where = m.group(), m.start(), m.end(), n
                 joined_with = None
@@ -345,7 +382,7 @@ class Page:
                         token = token + r.group(1)
                 elif k == 0 and at and self.running[at - 1] in self.hyphen and not line[: m.start()].strip():
                     continue
-                if not self._suspect(token):
+                if not _suspect(token):
                     continue
                 mended = lex.repair(token, low[k - 1] if k else "", low[k + 1] if k + 1 < len(low) else "")
                 if mended is None:
@@ -364,7 +401,7 @@ class Page:
                 else:
                     self.char.add(where)
                     self.repairs[where, start, end] = _like(token, mended)
-            for m in _TOKEN.finditer(line):
+            for m in _TOKEN.finditer(line) if not self.index_only and _MIXED.search(line) else ():
                 if any(s <= m.start() < e for s, e in masked.get(n, ())):
                     continue
                 fixed = _number(m.group())
@@ -372,10 +409,9 @@ class Page:
                     self.char.add(n)
                     self.repairs[n, m.start(), m.end()] = fixed
 
-    def _suspect(self, token: str) -> bool:
-        if any(ch.isdigit() for ch in token):
-            return len(token) >= 3 and sum(ch.isalpha() for ch in token) >= 2
-        return len(token) >= 3
+    def mended(self) -> list[tuple[int, str, str]]:
+        """The repaired words: line, what stands there, what should."""
+        return [(n, self.lines[n][s:e], w) for (n, s, e), w in sorted(self.repairs.items())]
 
     def finds(self) -> list[tuple[int, str]]:
         return [(n, "furniture") for n in sorted(self.out)] + [(n, "hyphen") for n in sorted(self.hyphen)] + [(n, "char") for n in sorted(self.char)]
@@ -445,48 +481,82 @@ def _number(token: str) -> str | None:
 
 #: a word, hyphenated word or pair of words enters the lexicon from this share of the texts on (three uses at least)
 LEXICON_SHARE = 1 / 5000
+MENDED = "array<struct<line_no:int,seen:string,mended:string>>"
 FINDS = "array<struct<line_no:int,kind:string>>"
 
 
-def _counted(items: DataFrame, least: int) -> dict[str, int]:
-    return {r[0]: r[1] for r in items.groupBy("w").count().filter(F.col("count") >= least).collect()}
-
-
 def lexicon_tables(texts: DataFrame) -> tuple[dict[str, int], dict[str, int], dict[str, int], dict[str, int], int]:
-    """Counts over all distinct texts: words, hyphenated words, pairs, runs of letters over the uses of words (of 5 to 64 letters); and the least count kept.
+    """Counts over all distinct texts: words, hyphenated words, pairs, runs of letters over the uses of words (from 5 letters on); and the least count kept.
 
     The least count is a share of the texts, so the tables can't outgrow (uses in a text) / share; runs of four letters
-    are bounded by the alphabet. Broken words are left out of the counts.
+    are bounded by the alphabet. Broken words are left out of the counts. One pass counts the first three, one the runs.
     """
     total = texts.count()
     least = max(3, int(total * LEXICON_SHARE))
     whole = F.regexp_replace("text", rf"(?<!\p{{L}})\p{{L}}++[{MARKS}]\s*\n\s*\p{{L}}++", " # ")
-    lines = texts.select(F.explode(F.split(whole, "\n")).alias("line"))
-    words = lines.select(F.regexp_extract_all(F.lower("line"), F.lit(r"(\p{L}[\p{L}\p{N}]*|\p{N}+\p{L}{2,}[\p{L}\p{N}]*)"), F.lit(1)).alias("ws"))
-    word = words.select(F.explode("ws").alias("w"))
-    pair = words.filter("size(ws) > 1").select(F.explode(F.transform(F.sequence(F.lit(0), F.size("ws") - 2), lambda i: F.concat_ws(" ", F.get("ws", i), F.get("ws", i + 1)))).alias("w"))
-    chains = lines.select(F.explode(F.regexp_extract_all(F.lower("line"), F.lit(r"(?<![\p{L}\p{N}-])(\p{L}+(?:-\p{L}+)+)(?![\p{L}\p{N}-])"), F.lit(1))).alias("c")).select(F.split("c", "-").alias("ps"))
-    links = chains.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("ps") - 2), lambda i: F.concat_ws("-", F.get("ps", i), F.get("ps", i + 1)))).alias("w"))
-    marked = word.filter(F.length("w").between(5, 64)).groupBy("w").count().select(F.concat(F.lit("^"), "w", F.lit("$")).alias("t"), "count")
-    runs = marked.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 3), lambda i: F.col("t").substr(i, F.lit(4)))).alias("w"), "count")
+    lines = texts.select(F.explode(F.split(whole, "\n")).alias("line")).select(
+        F.regexp_extract_all(F.lower("line"), F.lit(r"(\p{L}[\p{L}\p{N}]*|\p{N}+\p{L}{2,}[\p{L}\p{N}]*)"), F.lit(1)).alias("ws"),
+        F.regexp_extract_all(F.lower("line"), F.lit(r"(?<![\p{L}\p{N}-])(\p{L}+(?:-\p{L}+)+)(?![\p{L}\p{N}-])"), F.lit(1)).alias("chains"),
+    )
+
+    def beside(parts, sep: str):
+        return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: F.concat_ws(sep, F.get(parts, i), F.get(parts, i + 1)))).otherwise(F.array().cast("array<string>"))
+
+    def marked(kind: str, items):
+        return F.transform(items, lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("w")))
+
+    links = F.flatten(F.transform("chains", lambda c: beside(F.split(c, "-"), "-")))
+    items = lines.select(F.inline(F.concat(marked("w", F.col("ws")), marked("p", beside(F.col("ws"), " ")), marked("h", links))))
+    tables: dict[str, dict[str, int]] = {"w": {}, "p": {}, "h": {}}
+    for kind, w, n in items.groupBy("kind", "w").count().filter(F.col("count") >= least).collect():
+        tables[kind][w] = n
+    word = lines.select(F.explode("ws").alias("w")).filter(F.length("w") >= 5).groupBy("w").count().select(F.concat(F.lit("^"), "w", F.lit("$")).alias("t"), "count")
+    runs = word.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 3), lambda i: F.col("t").substr(i, F.lit(4)))).alias("w"), "count")
     grams = {r[0]: r[1] for r in runs.groupBy("w").agg(F.sum("count").alias("n")).filter("n > 1").collect()}
-    return _counted(word, least), _counted(links, least), _counted(pair, least), grams, least
+    return tables["w"], tables["h"], tables["p"], grams, least
+
+
+#: bytes that the counts sent to the executors may take; more of them means that ``LEXICON_SHARE`` is too small for the memory
+MOST_BROADCAST = 1 << 29
+
 
+def analysed(texts: DataFrame, with_text: bool = True, key: str = "text", index_only: bool = False) -> DataFrame:
+    """``text, repaired, finds`` for distinct non-blank ``text``; another ``key`` column goes through instead of the text.
 
-def analysed(texts: DataFrame, with_text: bool = True) -> DataFrame:
-    """``text, repaired, finds`` for distinct non-blank ``text``."""
+    ``index_only`` gives ``key, finds`` with the words that the index repairs: line, what stands there, what should.
+    """
     words, hyphenated, pairs, grams, least = lexicon_tables(texts)
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((words, hyphenated, pairs, grams, least))
+    size = sum(len(k) + 100 for t in (words, hyphenated, pairs, grams) for k in t)
+    if size > MOST_BROADCAST:
+        raise ValueError(f"the lexicon would take {size >> 20} MB in every executor; raise LEXICON_SHARE")
+    shared = texts.sparkSession.sparkContext.broadcast((words, hyphenated, pairs, {} if index_only else grams, least))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, h, p, g, k = shared.value
-        lex = Lexicon(w, h, p, g, k)
+        lex = _lexicon(shared)
         for f in frames:
-            pages = [Page(t, lex) for t in f["text"]]
-            yield pd.DataFrame({"text": f["text"], "repaired": [x.text() for x in pages] if with_text else None, "finds": [x.finds() for x in pages]})
+            pages = [Page(t, lex, index_only) for t in f["text"]]
+            if index_only:
+                yield pd.DataFrame({key: f[key], "finds": [x.mended() for x in pages]})
+            else:
+                yield pd.DataFrame({key: f[key], "repaired": [x.text() for x in pages] if with_text else None, "finds": [x.finds() for x in pages]})
+
+    form = texts.schema[key].dataType.simpleString()
+    return spread(texts).mapInPandas(run, f"{key} {form}, finds {MENDED}" if index_only else f"{key} {form}, repaired string, finds {FINDS}")
+
 
-    return spread(texts).mapInPandas(run, f"text string, repaired string, finds {FINDS}")
+_LEXICA: dict[str, Lexicon] = {}
+
+
+def _lexicon(shared) -> Lexicon:
+    """The worker's lexicon of a broadcast: its index is built once, not for every task."""
+    path = getattr(shared, "_path", None)
+    held = _LEXICA.get(path) if path else None
+    if held is None:
+        held = Lexicon(*shared.value)
+        _LEXICA.clear()
+        if path:
+            _LEXICA[path] = held
+    return held
 
 
 def repair(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -502,10 +572,23 @@ def repair(df: DataFrame, text_col: str = "text") -> DataFrame:
     return own.join(got, "__text", "left").withColumn("repaired", blank).withColumn("finds", F.coalesce("finds", F.expr(f"cast(array() as {FINDS})"))).drop("__text")
 
 
-def found(results: DataFrame, requests: DataFrame) -> DataFrame:
-    """``src, rec_id, line_no, kind`` of every find in both tables."""
+def _rows(results: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``src, rec_id, h`` of the rows with text, and ``h, text`` of the distinct texts: only a digest of the text is joined on."""
     a = results.select(F.lit("ocr_results").alias("src"), F.col("ocr_id").cast("long").alias("rec_id"), "text")
     b = requests.select(F.lit("ai_requests").alias("src"), F.col("request_id").cast("long").alias("rec_id"), F.col("raw_text").alias("text"))
-    rows = a.unionByName(b).filter("trim(text) <> ''")
-    got = analysed(rows.select("text").distinct(), with_text=False).filter("size(finds) > 0")
-    return rows.join(got, "text").select("src", "rec_id", F.explode("finds").alias("x")).select("src", "rec_id", F.col("x.line_no").alias("line_no"), F.col("x.kind").alias("kind")).distinct()
+    rows = a.unionByName(b).filter("trim(text) <> ''").withColumn("h", F.md5("text"))
+    return rows.select("src", "rec_id", "h").distinct(), cut(rows.groupBy("h").agg(F.first("text").alias("text")))
+
+
+def found(results: DataFrame, requests: DataFrame) -> DataFrame:
+    """``src, rec_id, line_no, kind`` of every find in both tables."""
+    rows, texts = _rows(results, requests)
+    got = analysed(texts, with_text=False, key="h").filter("size(finds) > 0").select("h", "finds")
+    return rows.join(got, "h").select("src", "rec_id", F.inline("finds")).distinct()
+
+
+def mended(results: DataFrame, requests: DataFrame) -> DataFrame:
+    """``src, rec_id, line_no, seen, mended``: every word that the index of the lexicon repairs."""
+    rows, texts = _rows(results, requests)
+    got = analysed(texts, key="h", index_only=True).filter("size(finds) > 0")
+    return rows.join(got, "h").select("src", "rec_id", F.inline("finds")).distinct()

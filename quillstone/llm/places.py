@@ -392,7 +392,7 @@ def components_of(addresses: DataFrame) -> DataFrame:
     rows = addresses.filter("address_id is not null").select(F.col("address_id").cast("long"), *FIELDS).distinct()
     got = cut(spread(rows, "address_id").mapInPandas(read, READ))
     usual = got.filter("known and post <> ''").groupBy("post", "town").count().groupBy("post").agg(F.max(F.struct("count", "town")).alias("x")).select("post", F.col("x.town").alias("usual"))
-    return got.join(usual, "post", "left").withColumn("town", F.when(F.col("town") != "", F.col("town")).otherwise(F.coalesce("usual", "town"))).drop("usual", "known")
+    return got.join(usual, "post", "left").withColumn("town", F.when(F.col("town") != "", F.col("town")).otherwise(F.coalesce("usual", "town"))).withColumn("near", F.coalesce("usual", F.lit(""))).drop("usual", "known")
 
 
 def deletions(word: str, k: int = 2) -> set[str]:
@@ -421,13 +421,13 @@ def index_keys(name: str) -> set[str]:
 
 
 def _index(nodes: DataFrame) -> DataFrame:
-    """``key, node, town, name``: a row for each block of a node and each deletion of its street name."""
+    """``key, node, town, name``: a row for each block of a node - town, postcode, locality of the postcode - and each deletion of its street name."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for node, town, post, number, name in zip(f["node"], f["town"], f["post"], f["number"], f["name"], strict=True):
-                blocks = [f"t:{town}"] * bool(town) + [f"p:{post}"] * bool(post)
+            for node, town, post, near, number, name in zip(f["node"], f["town"], f["post"], f["near"], f["number"], f["name"], strict=True):
+                blocks = {f"t:{x}" for x in (town, near) if x} | ({f"p:{post}"} if post else set())
                 for v in index_keys(name):
                     rows += [(f"{b}|{number}|{v}", node, town, name) for b in blocks]
             yield pd.DataFrame(rows, columns=["key", "node", "town", "name"])
@@ -515,7 +515,7 @@ def locations(addresses: DataFrame) -> DataFrame:
     """
     read = cut(components_of(addresses))
     keyed = read.withColumn("node", F.concat_ws("|", "town", "post", "number", "name"))
-    nodes = keyed.select("node", "town", "post", "number", "name").distinct()
+    nodes = keyed.select("node", "town", "post", "near", "number", "name").distinct()
     comp = components(_links(nodes))
     built = cut(keyed.join(comp, "node", "left").withColumn("building", F.coalesce("root", "node")).select("address_id", "building", "kind", "direction", "unit"))
     combos = built.select("building", "kind", "direction", "unit").distinct()
