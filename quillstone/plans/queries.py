@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import amounts, contacts, dates, parties, text as tx, transaction as tr
 from quillstone.functions.js import lines, words
 from quillstone.operators import entities as en, items as it, merge as mg, segment as sg, shred, totals as tt, unified_rules as ur, validate as va
-from quillstone.plans import pipeline as pl
+from quillstone.plans import pipeline as pl, slips
 from quillstone.runtime import table
 from quillstone.sources import documents as sd, render
 
@@ -507,8 +507,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         rendered_keyword_factor, rendered_records, missing_items, gap_fill, entity_merge, entity_fields, entity_items, bio_labels, best_labels, label_report, token_ids, parsed, extracted_items, unified_records, payments_found,
         tax_numbers, spend_by_supplier, top_items, stream_twin,
     )
-    return {f.__name__: f for f in named}
+    return {f.__name__: f for f in named} | slips.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | slips.SQL
