@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.boost import Boosted
-from quillstone.llm.names import _FULL_OF, KINDS as BUSINESS_KINDS, LEGAL, SECTORS, SHORT_FORMS, fold
+from quillstone.llm.names import _FULL_OF, KINDS as BUSINESS_KINDS, LEGAL, SECTORS, SHORT_FORMS, fold as _fold
 from quillstone.llm.places import STATES
-from quillstone.runtime import spread
+from quillstone.runtime import cut, spread
+
+fold = lru_cache(maxsize=200_000)(_fold)
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
@@ -79,6 +81,7 @@ _EMAIL = [
     re.compile(rf"(?<![\w.+-])[A-Za-z0-9_][\w+-]*(?:(?:\s+dot\s+|\.)[\w+-]+)*\s+at\s+[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+(?!\w)", re.I),
     re.compile(rf"(?<![\w.+-])[A-Za-z0-9_][\w+-]*(?:(?:\s+dot\s+|\.)[\w+-]+)+\s*{_AT}\s*{_HOST}", re.I),
 ]
+_AT_SIGN = re.compile(r"@|\bat\b", re.I)
 _PHONE = re.compile(r"(?<![\w@.-])(?:(?:\+|00)[0-9]{1,3}[\s.-]?)?(?:\(0\)\s?)?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[\s./-]{0,2}[0-9]{2,8}){1,5}(?![\w])")
 _ID = re.compile(r"(?<![\w@.-])(?=[A-Za-z0-9 -]{0,60}[0-9])(?:[A-Za-z]{1,3}\s?-?)?[0-9]{1,11}(?:[ \n-]{1,2}(?:[0-9]{1,7}|[A-Za-z](?=[ \n-][0-9]))){0,6}[A-Za-z]?(?![\w])")
 _ADDRESS = [
@@ -235,7 +238,7 @@ _PAIR = re.compile(r"(?<![\w@.+-])(?=[^\W\d_a-zß-öø-ÿ])([^\W\d_]{2,})(?:\s+[
 def candidates(text: str, words: Words) -> list[tuple[int, int, str]]:
     """Overlapping candidate spans ``(start, end, kind)``; meant to miss nothing."""
     out: set[tuple[int, int, str]] = set()
-    for pattern in _EMAIL:
+    for pattern in _EMAIL if _AT_SIGN.search(text) else ():
         for m in pattern.finditer(text):
             out.add((m.start(), m.end(), "email"))
     for m in _PHONE.finditer(text):
@@ -404,21 +407,19 @@ def usual_words(texts: DataFrame) -> list[str]:
     return [r[0] for r in words.groupBy("w").count().filter(F.col("count") >= least).select("w").collect()]
 
 
-def find_spans(texts: DataFrame) -> DataFrame:
-    """``text, spans`` for distinct non-blank ``text``: the selected spans with their kinds and probabilities, in order."""
+def find_spans(texts: DataFrame, key: str = "text") -> DataFrame:
+    """``text, spans`` for distinct non-blank ``text``: the selected spans with their kinds and probabilities, in order. Another ``key`` column goes through instead of the text."""
     from quillstone.llm.pii_grammar import trained
 
     usual = usual_words(texts)
-    models = trained()
+    shared = texts.sparkSession.sparkContext.broadcast((trained(), usual))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(models, usual)
+        finder = Finder(*shared.value)
         for f in frames:
-            part = f["text"].tolist()
-            spans = [[(s, e, k, p) for s, e, k, p in row] for row in finder.spans(part)]
-            yield pd.DataFrame({"text": part, "spans": spans})
+            yield pd.DataFrame({key: f[key], "spans": finder.spans(f["text"].tolist())})
 
-    return spread(texts).mapInPandas(run, f"text string, spans {SPANS}")
+    return spread(texts).mapInPandas(run, f"{key} {texts.schema[key].dataType.simpleString()}, spans {SPANS}")
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -446,6 +447,8 @@ def found(responses: DataFrame, requests: DataFrame) -> DataFrame:
     """``src, rec_id, start_at, kind`` of every find in notes and raw texts."""
     a = responses.select(F.lit("responses").alias("src"), F.col("response_id").cast("long").alias("rec_id"), F.col("notes").alias("text"))
     b = requests.select(F.lit("ai_requests").alias("src"), F.col("request_id").cast("long").alias("rec_id"), F.col("raw_text").alias("text"))
-    rows = a.unionByName(b).filter("trim(text) <> ''")
-    spans = find_spans(rows.select("text").distinct()).filter("size(spans) > 0")
-    return rows.join(spans, "text").select("src", "rec_id", F.explode("spans").alias("s")).select("src", "rec_id", F.col("s.start_at").alias("start_at"), F.col("s.kind").alias("kind")).distinct()
+    rows = a.unionByName(b).filter("trim(text) <> ''").withColumn("h", F.md5("text"))
+    # only a digest of the text is joined on
+    texts = cut(rows.groupBy("h").agg(F.first("text").alias("text")))
+    spans = find_spans(texts, "h").filter("size(spans) > 0")
+    return rows.select("src", "rec_id", "h").distinct().join(spans, "h").select("src", "rec_id", F.explode("spans").alias("s")).select("src", "rec_id", F.col("s.start_at").alias("start_at"), F.col("s.kind").alias("kind")).distinct()
