@@ -19,7 +19,7 @@ ITEM = (
 # fixed values: lines that are never items
 SUMMARY = r"^(?:sub\s*total|subtotal|total|tax|gst|vat|hst|pst|shipping|delivery|freight|discount|rebate|balance|amount\s+due|amount\s+paid|total\s+amount|change\s+due|rounding|tip|gratuity|net\s+amount|gross|payment|paid|tendered|change|due|owing)\b"
 HEADING = r"(?:description|item\s*name|item|qty|quantity|unit\s*price|unit\s*cost|price|amount|total|tax|sku|product|service|particular|uom|unit\s*of\s*measure|rate|no\.?)\b"
-NOT_PRODUCT = "|".join((
+NOT_PRODUCT_BRANCHES = (
     r"(?:^(?:\d+\s+)?(?:po\s*box|p\.?o\.?\s*box)\b)",
     r"(?:\b\d+\s+\w+\s+(?:street|st\.?|road|rd\.?|avenue|ave\.?|boulevard|blvd\.?|drive|dr\.?|lane|ln\.?|way|court|ct\.?|place|pl\.?|circle|cir\.?|terrace|ter\.?|highway|hwy\.?|pike|route|rte\.?)\b)",
     r"(?:\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\s+[A-Z]{2}\s+\d{5}(?:-\d{4})?\b)",
@@ -29,7 +29,8 @@ NOT_PRODUCT = "|".join((
     r"(?:\bcustomer\s+signature\b|\bagree\s+to\s+pay\b|\bcard\s+issuer\b|\bthank\s+you\b|\bhave\s+a\s+(?:nice|great|good)\b)", r"(?:^\d{1,2}\/\d{1,2}\/\s*$)",
     r"(?:^(?:www\.|https?:\/\/|[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}))", r"(?:^(?:mastercard|visa|discover|amex|american\s+express)[:\s*x])", r"(?:^authorization\s+(?:code|amount)\b)", r"(?:^appr\s+code\b)",
     r"(?:^(?:chip\s+ref(?:id)?|tvr:|tsi:|aid:))", r"(?:^(?:batch\s*#|rrn:|tid:|ref\s*#|bank\s*id)\b)", r"(?:^[-=─]{2,}\s*(?:page|end|continued|pg\.?)\s*\d*\s*[-=─]*$)",
-))
+)
+NOT_PRODUCT = "|".join(NOT_PRODUCT_BRANCHES)
 NUMBER = r"(?:[\$€£₹¥]\s*)?(?:\d{1,3}(?:,\d{3})+|\d{1,9})(?:\.\d{1,4})?\s*%?"
 TAX_PERCENT = r"\b(\d{1,3}(?:\.\d{1,2})?)\s*(?:%|percent|pct)\b"
 UNIT = r"\b(ea(?:ch)?|pcs?|piece(?:s)?|units?|kg|grams?|m(?:etre(?:s)?)?|litre(?:s)?|ltr|hr(?:s)?|hour(?:s)?|day(?:s)?|set(?:s)?|bo(?:x|xes)|roll(?:s)?|pair(?:s)?|pkt(?:s)?|packet(?:s)?|bag(?:s)?|sqm|m2|m3|lm|tin(?:s)?|ctn(?:s)?|carton(?:s)?|dozen(?:s)?)\b"

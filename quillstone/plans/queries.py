@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import amounts, contacts, dates, parties, text as tx, transaction as tr
 from quillstone.functions.js import lines, words
-from quillstone.operators import entities as en, items as it, merge as mg, segment as sg, shred, totals as tt, unified_rules as ur, validate as va
+from quillstone.operators import entities as en, items as it, merge as mg, reader, segment as sg, shred, totals as tt, unified_rules as ur, validate as va
 from quillstone.plans import pipeline as pl, slips
 from quillstone.runtime import table
 from quillstone.sources import documents as sd, render
@@ -217,7 +217,7 @@ def rendered_keyword_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def missing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of the rows that aren't found in the text, and why: those beyond the guard on totals."""
     truth = render.numbered_items(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(F.col("l_orderkey").alias("doc_id"), F.col("l_extendedprice").alias("total_amount"), "line_no")
-    got = pl.exploded_parts(_with_items(spark, sf_dir), "doc_id").select("doc_id", F.round("total_amount", 2).alias("total_amount"))
+    got = reader.read(render.invoices(spark, sf_dir), "items").select("doc_id", F.round("total_amount", 2).alias("total_amount"))
     return truth.withColumn("total_amount", F.round("total_amount", 2)).join(got, ["doc_id", "total_amount"], "left_anti").select("doc_id", "line_no", "total_amount")
 
 
