@@ -193,7 +193,7 @@ def _with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rendered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pl.exploded_parts(_with_items(spark, sf_dir), "doc_id").select("doc_id", "line_no", "item_name", "quantity", (F.abs(F.col("unit_price") * F.col("quantity") - F.col("total_amount")) <= 0.0051 * F.col("quantity")).alias("price_fits"), "total_amount")
+    return reader.read(render.invoices(spark, sf_dir), "items").select("doc_id", "line_no", "item_name", "quantity", (F.abs(F.col("unit_price") * F.col("quantity") - F.col("total_amount")) <= 0.0051 * F.col("quantity")).alias("price_fits"), "total_amount")
 
 
 def rendered_item_count(spark: SparkSession, sf_dir: str) -> DataFrame:
