@@ -348,7 +348,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rendered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entry(spark, sf_dir).select("doc_id", "document_type", "invoice_number", "grand_total")
+    return reader.read(render.invoices(spark, sf_dir), "record")
 
 
 # ---------------------------------------------------------------------------------------------------------------
