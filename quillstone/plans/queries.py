@@ -206,8 +206,7 @@ def rendered_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rendered_numeric_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _with_items(spark, sf_dir).withColumn("t", tt.totals(F.col("norm"), F.col("foot"), F.col("parts")))
-    return r.select("doc_id", tt.numeric_factor(F.col("t"), F.col("parts")).alias("numeric_factor"))
+    return reader.read(render.invoices(spark, sf_dir), "numeric")
 
 
 def rendered_keyword_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
