@@ -201,8 +201,7 @@ def rendered_item_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rendered_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tt.totals(F.col("norm"), F.col("foot"), F.col("parts"))
-    return _with_items(spark, sf_dir).withColumn("t", t).select("doc_id", "t.subtotal", "t.total_tax", "t.shipping_cost", "t.grand_total")
+    return reader.read(render.invoices(spark, sf_dir), "totals")
 
 
 def rendered_numeric_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
