@@ -183,8 +183,7 @@ def rendered_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rendered_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _rendered(spark, sf_dir).withColumn("rows", lines(F.col("norm"))).withColumn("b", sg.bounds(F.col("rows")))
-    return r.select("doc_id", parties.supplier_name(sg.header(F.col("rows"), F.col("b"))).alias("supplier_name"), parties.buyer(F.col("rows"))["name"].alias("buyer_name"))
+    return reader.read(render.invoices(spark, sf_dir), "parties")
 
 
 def _with_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from quillstone.operators import items as it, reader, segment as sg, totals as t
 from quillstone.sources import render
 from tests.test_items import INVOICE
 
-QUERIES = ("missing_items", "rendered_items", "rendered_records", "rendered_numeric_factor", "rendered_totals")
+QUERIES = ("missing_items", "rendered_items", "rendered_records", "rendered_numeric_factor", "rendered_totals", "rendered_parties")
 
 ODD = (
     "", "x", "Item  Qty  Unit Price  Total\n4 EA  12.60  50.40\nBrass fitting\nthree words here\nCopper pipe  2  10.00  20.00\nTotal 70.00\nGhost  1  5.00  5.00",
